@@ -19,6 +19,8 @@ from termweave.session import cut
 #: Leading hash bits of a first split; rows of partial counts that one aggregation takes; bits of each further split.
 RADIX_BITS, BUCKET_ROWS, MORE_BITS = 6, 1_000_000, 3
 
+_COUNTS = pa.schema([("term", pa.string()), ("occurrences", pa.int64()), ("units", pa.int64())])
+
 
 def record_counts(df: DataFrame, unit: str, terms: str) -> DataFrame:
     """(term, occurrences, units): of each term of an array column its entries and, as each row is one unit, its units per row.
@@ -37,7 +39,7 @@ def _aggregate(bucket: pa.Table) -> pa.Table:
 
     with duckdb.connect(config={"threads": 1, "memory_limit": "512MB"}) as con:
         con.register("bucket", bucket)
-        return con.sql("SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(units)::BIGINT AS units FROM bucket GROUP BY term").to_arrow_table().cast(pa.schema([("term", pa.string()), ("occurrences", pa.int64()), ("units", pa.int64())]))
+        return con.sql("SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(units)::BIGINT AS units FROM bucket GROUP BY term").to_arrow_table().cast(_COUNTS)
 
 
 def count_terms(entries: DataFrame, radix_bits: int = RADIX_BITS, bucket_rows: int = BUCKET_ROWS, more_bits: int = MORE_BITS) -> DataFrame:
@@ -72,10 +74,10 @@ def _combined(entries: DataFrame) -> DataFrame:
 
         def total(parts):
             g = pa.concat_tables(parts).group_by("term", use_threads=False).aggregate([("occurrences", "sum"), ("units", "sum")])
-            return pa.table({"term": g["term"], "occurrences": g["occurrences_sum"], "units": g["units_sum"]})
+            return pa.Table.from_arrays([g["term"], g["occurrences_sum"], g["units_sum"]], schema=_COUNTS)
 
         for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
+            held.append(pa.Table.from_arrays(batch.columns, schema=_COUNTS))
             rows += batch.num_rows
             if rows > size:
                 out = total(held)
