@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from termweave.functions.normal import normal, normal_items
 from termweave.functions.rows import latest
-from termweave.llm import cooccurrence, frequency
-from termweave.session import cut
+from termweave.llm import cooccurrence, frequency, mapping
+from termweave.session import broadcast_if_small, cut
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -66,7 +66,16 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select(F.col("item_a").alias("term_a"), F.col("item_b").alias("term_b"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_frequency": p1_frequency, "p3_found": p3_found, "p3_pairs": p3_pairs}
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The canonical entry that each keyword entry means, for entries that are not themselves canonical."""
+    entries = cut(_records(spark, folder, "keywords").select("record_id", F.posexplode("keywords").alias("pos", "value")), "entries")
+    values = entries.select("value").distinct()
+    mapped = cut(mapping.map_values(values.repartition(4 * spark.sparkContext.defaultParallelism, "value"), table(spark, folder, "thesaurus"), order=("added_at", "rule_id")), "mapped")
+    found = entries.join(broadcast_if_small(mapped), entries["value"].eqNullSafe(mapped["value"]))
+    return found.filter("NOT is_canonical").select("record_id", "pos", F.col("entry").alias("replace_by"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_frequency": p1_frequency, "p3_found": p3_found, "p3_pairs": p3_pairs, "p6_found": p6_found}
 
 #: The normal form in DuckDB: NFC and the full-width forms, which together stand for NFKC on the terms of the test tables.
 _WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
