@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions.normal import normal, normal_items
 from termweave.functions.rows import latest
-from termweave.llm import cooccurrence, frequency, mapping
+from termweave.llm import cooccurrence, frequency, mapping, names
 from termweave.session import broadcast_if_small, cut
 
 
@@ -66,6 +66,17 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select(F.col("item_a").alias("term_a"), F.col("item_b").alias("term_b"))
 
 
+def p5_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Every spelling in records.authors with the author it means, the rewriting that tells, and a score."""
+    spelt = table(spark, folder, "records").select("record_id", F.explode("authors").alias("name")).filter("name IS NOT NULL")
+    return names.link_names(cut(spelt.groupBy("name").agg(F.count("*").alias("n")), "names"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of spellings that mean the same author."""
+    return names.linked_pairs(cut(p5_links(spark, folder), "links"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """The canonical entry that each keyword entry means, for entries that are not themselves canonical."""
     entries = cut(_records(spark, folder, "keywords").select("record_id", F.posexplode("keywords").alias("pos", "value")), "entries")
@@ -75,7 +86,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.filter("NOT is_canonical").select("record_id", "pos", F.col("entry").alias("replace_by"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_frequency": p1_frequency, "p3_found": p3_found, "p3_pairs": p3_pairs, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_frequency": p1_frequency, "p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found}
 
 #: The normal form in DuckDB: NFC and the full-width forms, which together stand for NFKC on the terms of the test tables.
 _WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
