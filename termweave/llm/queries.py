@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions.normal import normal, normal_items
 from termweave.functions.rows import latest
-from termweave.llm import cooccurrence, frequency, mapping, names
+from termweave.llm import cooccurrence, encoding, frequency, mapping, names
 from termweave.session import broadcast_if_small, cut
 
 
@@ -66,6 +66,16 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select(F.col("item_a").alias("term_a"), F.col("item_b").alias("term_b"))
 
 
+def p4_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Damaged titles and abstracts with the original text where it can be recovered."""
+    return encoding.repair_garbled(table(spark, folder, "records").select("record_id", "title", "abstract"), "record_id", ["title", "abstract"])
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles and abstracts that were read in a wrong encoding."""
+    return encoding.find_garbled(table(spark, folder, "records").select("record_id", "title", "abstract"), "record_id", ["title", "abstract"]).select("record_id", "field")
+
+
 def p5_links(spark: SparkSession, folder: str) -> DataFrame:
     """Every spelling in records.authors with the author it means, the rewriting that tells, and a score."""
     spelt = table(spark, folder, "records").select("record_id", F.explode("authors").alias("name")).filter("name IS NOT NULL")
@@ -86,7 +96,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.filter("NOT is_canonical").select("record_id", "pos", F.col("entry").alias("replace_by"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_frequency": p1_frequency, "p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_frequency": p1_frequency, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found}
 
 #: The normal form in DuckDB: NFC and the full-width forms, which together stand for NFKC on the terms of the test tables.
 _WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
