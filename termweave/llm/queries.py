@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions.normal import normal, normal_items
 from termweave.functions.rows import latest
-from termweave.llm import cooccurrence, encoding, frequency, mapping, names
+from termweave.llm import cooccurrence, encoding, frequency, language, leakage, mapping, names
 from termweave.session import broadcast_if_small, cut
 
 
@@ -96,7 +96,32 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.filter("NOT is_canonical").select("record_id", "pos", F.col("entry").alias("replace_by"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_frequency": p1_frequency, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found}
+def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold passages of test items, with the place of the passage."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return leakage.find_leaks(docs, table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the test items that they leak."""
+    return p8_leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p10_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Language and confidence of every document and of every line of the mixed ones."""
+    found = language.languages(table(spark, folder, "documents"), table(spark, folder, "lang_samples"), "doc_id", "text", "lang")
+    return found.filter("mixed OR seg = -1")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of mixed documents, and other documents whose label is missing or wrong, with their language."""
+    found = p10_languages(spark, folder)
+    kept = found.filter("lang IS NOT NULL AND ((mixed AND seg >= 0) OR (NOT mixed AND seg = -1 AND named <> lang))")
+    return kept.select("doc_id", "seg", "lang")
+
+
+QUERIES = {"p1_found": p1_found, "p1_frequency": p1_frequency, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found,
+           "p8_found": p8_found, "p8_leaks": p8_leaks, "p10_found": p10_found, "p10_languages": p10_languages}
 
 #: The normal form in DuckDB: NFC and the full-width forms, which together stand for NFKC on the terms of the test tables.
 _WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
