@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions.normal import normal, normal_items
 from termweave.functions.rows import latest
-from termweave.llm import cooccurrence, encoding, frequency, language, leakage, mapping, names
+from termweave.llm import cooccurrence, encoding, frequency, language, leakage, linkage, mapping, names
 from termweave.session import broadcast_if_small, cut
 
 
@@ -96,6 +96,22 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.filter("NOT is_canonical").select("record_id", "pos", F.col("entry").alias("replace_by"))
 
 
+def _p7_sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    records = _records(spark, folder, "title", "authors", "pub_year", "doi")
+    entries = latest(table(spark, folder, "catalog_entries").select("cat_id", "updated_at", "title", "authors", "pub_year", "doi"), ["cat_id"], ["updated_at"])
+    return linkage.prepare(records, "record_id", "title", "authors", "pub_year", "doi"), linkage.prepare(entries, "cat_id", "title", "authors", "pub_year", "doi")
+
+
+def p7_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Records and catalog entries of the same publication with the posterior as confidence."""
+    return linkage.match(*_p7_sides(spark, folder)).select(F.col("left_id").alias("record_id"), F.col("right_id").alias("cat_id"), "confidence")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records and catalog entries that describe the same publication."""
+    return p7_matches(spark, folder).select("record_id", "cat_id")
+
+
 def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold passages of test items, with the place of the passage."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -121,7 +137,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_frequency": p1_frequency, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found,
-           "p8_found": p8_found, "p8_leaks": p8_leaks, "p10_found": p10_found, "p10_languages": p10_languages}
+           "p7_found": p7_found, "p7_matches": p7_matches, "p8_found": p8_found, "p8_leaks": p8_leaks, "p10_found": p10_found, "p10_languages": p10_languages}
 
 #: The normal form in DuckDB: NFC and the full-width forms, which together stand for NFKC on the terms of the test tables.
 _WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
