@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions.normal import normal, normal_items
 from termweave.functions.rows import latest
-from termweave.llm import cooccurrence, encoding, frequency, language, leakage, linkage, mapping, names
+from termweave.llm import cooccurrence, encoding, frequency, language, leakage, linkage, mapping, mixing, names
 from termweave.session import broadcast_if_small, cut
 
 
@@ -123,6 +123,18 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_leaks(spark, folder).select("doc_id", "item_id")
 
 
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of each source that are used, with how often."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, table(spark, folder, "mix_targets"), "doc_id", "text")[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of all tokens that each source reaches."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, table(spark, folder, "mix_targets"), "doc_id", "text")[1]
+
+
 def p10_languages(spark: SparkSession, folder: str) -> DataFrame:
     """Language and confidence of every document and of every line of the mixed ones."""
     found = language.languages(table(spark, folder, "documents"), table(spark, folder, "lang_samples"), "doc_id", "text", "lang")
@@ -137,7 +149,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_frequency": p1_frequency, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found,
-           "p7_found": p7_found, "p7_matches": p7_matches, "p8_found": p8_found, "p8_leaks": p8_leaks, "p10_found": p10_found, "p10_languages": p10_languages}
+           "p7_found": p7_found, "p7_matches": p7_matches, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_languages": p10_languages}
 
 #: The normal form in DuckDB: NFC and the full-width forms, which together stand for NFKC on the terms of the test tables.
 _WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
