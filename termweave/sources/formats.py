@@ -149,7 +149,7 @@ _RIS = {"title": ("TI", "T1"), "year": ("PY", "Y1", "DA"), "source": ("JO", "JF"
 
 FORMATS = {
     "wos": Tagged(re.compile(r"^(?P<tag>[A-Z][A-Z0-9])(?:[\s](?P<value>.*))?$"), _WOS, end=("ER",), stop=("EF",), indent=re.compile("^   "), keep=lambda t: t not in ("FN", "VR")),
-    "wos_strict": Tagged(re.compile(r"^(?P<tag>[^\s]{1,3})[ \t](?P<value>.*)$"), _WOS, end=("ER",), stop=("EF",), keep=lambda t: t not in ("FN", "VR")),
+    "wos_strict": Tagged(re.compile(r"^(?P<tag>[^\s]{1,3})(?:[ \t](?P<value>.*))?$"), _WOS, end=("ER",), stop=("EF",), keep=lambda t: t not in ("FN", "VR")),
     "refworks": Tagged(re.compile(r"^(?P<tag>[A-Za-z][A-Za-z0-9])\s+(?P<value>.*)$"), _RW, begin=("RT",), end=("ER",), indent=re.compile(r"^(?:  |\t)"), pooled=True, upper=True, known=frozenset(t for ts in _RW.values() for t in ts)),
     "endnote": Tagged(re.compile(r"^(?P<tag>%.)(?:.(?P<value>.*))?$"), _EN, begin=("%0",), pooled=True, known=frozenset(t for ts in _EN.values() for t in ts)),
     "ris": Tagged(re.compile(r"^\s*(?P<tag>[A-Z][A-Z0-9])\s{2}-\s?(?P<value>.*)$"), _RIS, end=("ER",), several=True),

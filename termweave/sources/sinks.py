@@ -4,16 +4,28 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Colours of clusters, cycled. Fixed values.
 PALETTE = ((225, 131, 47), (162, 152, 223), (204, 65, 192), (3, 60, 96), (229, 255, 67), (0, 128, 128), (220, 20, 60), (60, 179, 113), (255, 165, 0), (106, 90, 205), (70, 130, 180), (178, 34, 34))
 
 
+def _fixed(col: Column | str, digits: int) -> Column:
+    """Decimal text of the exact binary value; the JVM's formatting rounds the shortest decimal form instead."""
+
+    @F.arrow_udf(T.StringType())
+    def text(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f"{v:.{digits}f}" for v in values.to_pylist()], pa.string())
+
+    return text(F.col(col).cast("double") if isinstance(col, str) else col.cast("double"))
+
+
 def _number(col: Column) -> Column:
     """Whole numbers without decimals, others with four."""
-    return F.when(col == F.floor(col), F.format_string("%.0f", col)).otherwise(F.format_string("%.4f", col))
+    return F.when(col == F.floor(col), F.format_string("%.0f", col)).otherwise(_fixed(col, 4))
 
 
 def map_header(layout: bool = False, cluster: bool = False, year: bool = True, citations: bool = True) -> str:
@@ -25,14 +37,14 @@ def map_rows(nodes: DataFrame, layout: bool = False, cluster: bool = False, year
     """(id, line) of a map file. Averages of 0 are blank, cluster 0 or null is 1."""
     cells = [F.col("id").cast("string"), F.col("label"), F.lit("")]
     if layout:
-        cells += [F.format_string("%.4f", F.coalesce("x", F.lit(0.0))), F.format_string("%.4f", F.coalesce("y", F.lit(0.0)))]
+        cells += [_fixed(F.coalesce("x", F.lit(0.0)), 4), _fixed(F.coalesce("y", F.lit(0.0)), 4)]
     if cluster:
         cells.append(F.when(F.coalesce("cluster", F.lit(0)) == 0, "1").otherwise(F.col("cluster").cast("string")))
-    cells += [F.col("occurrences").cast("string"), F.format_string("%.0f", F.bround("total_link_strength", 0))]
+    cells += [F.col("occurrences").cast("string"), _fixed("total_link_strength", 0)]
     if year:
-        cells.append(F.when(F.col("avg_year") != 0, F.format_string("%.1f", "avg_year")).otherwise(""))
+        cells.append(F.when(F.col("avg_year") != 0, _fixed("avg_year", 1)).otherwise(""))
     if citations:
-        cells.append(F.when(F.col("avg_citations") != 0, F.format_string("%.2f", "avg_citations")).otherwise(""))
+        cells.append(F.when(F.col("avg_citations") != 0, _fixed("avg_citations", 2)).otherwise(""))
     return nodes.select("id", F.concat_ws("\t", *cells).alias("line"))
 
 
