@@ -266,7 +266,10 @@ def languages(docs: DataFrame, samples: DataFrame, key: str, text: str, label: s
     most_samples labelled samples, the first by hash; every document is judged whole, in place.
     """
     rows = samples.filter(F.col(sample_lang).isNotNull() & F.col(sample_text).isNotNull()).select(label_language(F.col(sample_lang)).alias("l"), F.col(sample_text).alias("t")).orderBy(F.xxhash64("t"), "t").limit(most_samples).collect()
-    model = docs.sparkSession.sparkContext.broadcast(train([(r["l"], r["t"]) for r in rows if r["l"]]))
+    labelled = [(r["l"], r["t"]) for r in rows if r["l"] and r["t"].strip()]
+    if not labelled:
+        raise ValueError("no labelled samples to train on")
+    model = docs.sparkSession.sparkContext.broadcast(train(labelled))
     schema = f"{key} long, seg int, lang string, confidence double, rejected boolean, mixed boolean, named string"
 
     def scan(batches):

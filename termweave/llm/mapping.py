@@ -333,6 +333,6 @@ def map_values(values: DataFrame, rules: DataFrame, label: str = "label", target
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    low = every.groupBy("value").agg(F.min("distance").alias("low"))
-    near = every.join(low, F.col("value").eqNullSafe(low["value"]) & F.col("distance").eqNullSafe(F.col("low"))).select(every["value"], "entry", "distance", "is_canonical")
+    low = every.groupBy(F.col("value").alias("low_value")).agg(F.min("distance").alias("low"))
+    near = every.join(low, F.col("value").eqNullSafe(F.col("low_value")) & F.col("distance").eqNullSafe(F.col("low")))
     return near.groupBy("value").agg(F.when(F.count_distinct("entry") == 1, F.min("entry")).otherwise("").alias("entry"), F.min("distance").alias("distance"), F.max("is_canonical").alias("is_canonical"))

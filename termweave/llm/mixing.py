@@ -1,8 +1,7 @@
 """Mixing sources to target weights: subset-sum budget fitting.
 
-Documents are counted by source and exact token length. Each source's budget of tokens is met by whole passes over its
-documents, as often as its cap allows, and for the rest by taking from every length its share; what then remains is filled
-by bounded-knapsack dynamic programming over the lengths still free. Only the counts by length are planned on the driver;
+Documents are counted by source and exact token length. Of each source's budget of tokens every length gets its share, up to
+the cap on repeats; what then remains is filled by bounded-knapsack dynamic programming over the uses still free. Only the counts by length are planned on the driver;
 which documents of a length are taken is settled by a seeded hash.
 """
 
@@ -21,8 +20,9 @@ from termweave.session import cut
 #: A public byte-level BPE vocabulary as tiktoken ranks, and the pattern that splits texts for it. Fixed value.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The knapsack starts when at most so many of the longest documents would fit; buckets of the seeded choice.
-KNAPSACK, BUCKETS = 16, 128
+#: The knapsack starts when at most so many of the longest documents would fit, and at most so many tokens remain; buckets
+#: of the seeded choice.
+KNAPSACK, MOST_BITS, BUCKETS = 16, 1 << 18, 128
 
 _encodings: dict[int, object] = {}
 
@@ -52,19 +52,19 @@ def token_counts(df: DataFrame, text: str, vocabulary: str = VOCABULARY, name: s
 
 @dataclass
 class Plan:
-    """For one source: whole passes, and of each length how many documents are used once more."""
+    """For one source: its budget, how often documents of each length are used in all, and the tokens of that."""
 
     budget: int
-    passes: int
-    extra: dict[int, int]
+    uses: dict[int, int]
     tokens: int
 
 
 def fill(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many documents of each length to take once, so that their tokens come as near below budget as can be.
+    """How many of each length to take so that their tokens come as near below budget as can be.
 
-    First each length's share, then the longest that fit in turn, then the best sum that bounded-knapsack dynamic
-    programming finds among the lengths left. Sums are bits of one integer, so a length of many documents costs a few shifts.
+    First each length's share, then the longest that fit in turn until little remains, then the best sum that
+    bounded-knapsack dynamic programming finds among what is left. Sums are bits of one integer, so a length of many
+    documents costs a few shifts.
     """
     lengths = sorted(n for n in counts if n > 0 and counts[n] > 0)
     total = sum(n * counts[n] for n in lengths)
@@ -74,11 +74,11 @@ def fill(counts: dict[int, int], budget: int) -> dict[int, int]:
         return {n: counts[n] for n in lengths}
     take = {n: counts[n] * budget // total for n in lengths}
     left = budget - sum(n * k for n, k in take.items())
-    bound = KNAPSACK * lengths[-1]
+    bound = min(KNAPSACK * max((n for n in lengths if n <= left), default=1), MOST_BITS)
     for n in reversed(lengths):
         if left <= bound:
             break
-        k = min(counts[n] - take[n], (left - bound + n - 1) // n)
+        k = min(counts[n] - take[n], (left - bound + n - 1) // n, left // n)
         take[n] += k
         left -= n * k
     # Bounded knapsack: reach[i] has the sums of the first i parts; parts are powers of two of a length.
@@ -113,18 +113,14 @@ def plan(histogram: dict[str, dict[int, int]], targets: dict[str, tuple[float, i
     able = {s: share for s, (share, cap) in targets.items() if have[s] > 0 and share > 0 and cap > 0}
     whole = sum(able.values())
     if not able:
-        return {s: Plan(0, 0, {}, 0) for s in targets}
+        return {s: Plan(0, {}, 0) for s in targets}
     most = min(have[s] * targets[s][1] * whole / able[s] for s in able)
     size = most if total is None else min(total, most)
     out = {}
     for s, (_, cap) in targets.items():
-        if s not in able:
-            out[s] = Plan(0, 0, {}, 0)
-            continue
-        budget = round(size * able[s] / whole)
-        passes = min(cap, budget // have[s])
-        extra = fill(histogram[s], budget - passes * have[s]) if passes < cap else {}
-        out[s] = Plan(budget, int(passes), extra, int(passes * have[s] + sum(n * k for n, k in extra.items())))
+        budget = round(size * able[s] / whole) if s in able else 0
+        uses = fill({n: c * cap for n, c in histogram[s].items()}, budget) if s in able else {}
+        out[s] = Plan(budget, uses, sum(n * k for n, k in uses.items()))
     return out
 
 
@@ -144,8 +140,10 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str =
         histogram.setdefault(r[0], {})[r[1]] = r[2]
     plans = plan(histogram, wanted, total)
 
-    extra = spark.createDataFrame([(s, n, k) for s, p in plans.items() for n, k in p.extra.items()], f"{source} string, tokens long, more long")
-    passes = spark.createDataFrame([(s, p.passes) for s, p in plans.items()], f"{source} string, passes int")
+    # Documents of a length are all used passes times, and `more` of them once more.
+    each = [(s, n, u // histogram[s][n], u % histogram[s][n]) for s, p in plans.items() for n, u in p.uses.items()]
+    passes = spark.createDataFrame(each, f"{source} string, tokens long, passes long, more long")
+    extra = passes.filter("more > 0").select(source, "tokens", "more")
     # The k documents of a length with the lowest draw: whole buckets of draws, and within one bucket a rank.
     bucket = F.floor(F.col("draw") / F.lit((1 << 40) // BUCKETS))
     rows = counted.filter("tokens > 0").withColumn("bucket", bucket)
@@ -156,8 +154,8 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str =
     whole = rows.join(edges.filter("from_bucket = n").select(source, "tokens", "bucket"), [source, "tokens", "bucket"], "left_semi").select(key)
     part = rows.join(edges.filter("from_bucket < n"), [source, "tokens", "bucket"]).withColumn("rank", F.row_number().over(Window.partitionBy(source, "tokens", "bucket").orderBy("draw", key))).filter("rank <= from_bucket").select(key)
     once_more = whole.unionByName(part).withColumn("once", F.lit(1))
-    used = counted.filter("tokens > 0").join(F.broadcast(passes), source).join(once_more, key, "left")
-    chosen = used.select(key, source, "tokens", (F.col("passes") + F.coalesce("once", F.lit(0))).alias("uses")).filter("uses > 0")
+    used = counted.join(F.broadcast(passes), [source, "tokens"]).join(once_more, key, "left")
+    chosen = used.select(key, source, "tokens", (F.col("passes") + F.coalesce("once", F.lit(0))).cast("int").alias("uses")).filter("uses > 0")
 
     sums = chosen.groupBy(source).agg(F.sum(F.col("tokens") * F.col("uses")).alias("used_tokens"), F.count("*").alias("documents"), F.max("uses").alias("most_uses"))
     goal = spark.createDataFrame([(s, float(w[0]), int(w[1]), int(plans[s].budget)) for s, w in wanted.items()], f"{source} string, target_share double, max_repeats int, budget long")

@@ -115,7 +115,7 @@ def _readings(name: str) -> list[tuple]:
             return [x for x in [person(left.split(), [], True, fold(rest[0]))] if x]
         return [x for x in [person(left.split(), rest, True)] if x]
     words = text.split()
-    if len(words) == 1:
+    if len(words) <= 1:
         return [x for x in [person(words, [], True)] if x]
     tail = words[-1].replace(".", "")
     if not full(words[0]):
@@ -190,10 +190,12 @@ def link_names(names: DataFrame) -> DataFrame:
     """
     readings = cut(parse_names(names.filter(F.trim("name") != "")), "readings")
 
-    # Token order: of two readings the one whose given name is the more usual one.
+    # Token order: of two readings the one whose given name, or what it is a nickname of, is the more usual one.
     usual = readings.filter("firm AND kind = 'person' AND given <> ''").groupBy("given").agg(F.count_distinct("family").alias("usual"))
-    ranked = readings.join(usual, "given", "left").withColumn("usual", F.coalesce("usual", F.lit(0)))
-    read = _best(ranked, ["name"], [F.col("firm"), F.col("usual"), -F.col("reading")], ["n", "kind", "family", "given", "middle", "initials", "forms", "short", "usual"])
+    open_ = readings.filter("NOT firm").select("name", "reading", F.explode("forms").alias("form")).withColumn("given", F.substring_index("form", "|", -1))
+    known = open_.join(usual, "given").groupBy("name", "reading").agg(F.max("usual").alias("usual"))
+    ranked = readings.join(known, ["name", "reading"], "left").withColumn("usual", F.coalesce("usual", F.lit(0)))
+    read = _best(ranked, ["name"], [F.col("firm"), F.col("usual"), F.size("forms"), -F.col("reading")], ["n", "kind", "family", "given", "middle", "initials", "forms", "short"])
     read = cut(read, "read")
 
     # Nicknames: of the formal names the one that occurs with this family as such.
