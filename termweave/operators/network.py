@@ -140,3 +140,16 @@ def strongest(edges: DataFrame, nodes: DataFrame, n: int = 10) -> DataFrame:
     """The n strongest edges with names, equal ones by id."""
     top = edges.filter("weight > 0").orderBy(F.desc("weight"), "src", "dst").limit(n)
     return with_labels(top, nodes).select("label_a", "label_b", "weight", "association_strength")
+
+
+def with_layout(nodes: DataFrame, layout: DataFrame) -> DataFrame:
+    """Nodes with x, y and cluster of a layout (id, x, y, cluster) made elsewhere; without a place there 0, 0 and cluster 1."""
+    kept = nodes.drop("x", "y", "cluster")
+    places = layout.select("id", "x", "y", "cluster")
+    return kept.join(places, "id", "left").fillna(0.0, ["x", "y"]).fillna(1, ["cluster"])
+
+
+def label_differences(nodes: DataFrame, other: DataFrame) -> DataFrame:
+    """(label, missing): labels that only one of two node tables has; none if one may be used for the other."""
+    only = nodes.select("label").distinct().exceptAll(other.select("label").distinct()).withColumn("missing", F.lit("other"))
+    return only.unionByName(other.select("label").distinct().exceptAll(nodes.select("label").distinct()).withColumn("missing", F.lit("nodes")))

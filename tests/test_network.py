@@ -143,3 +143,12 @@ def test_pairs_brute_force(spark, corpus):
     net = network.build(corpus)
     got = network.with_labels(net.edges, net.nodes).collect()
     assert {(r["label_a"], r["label_b"]): r["weight"] for r in got} == want
+
+
+def test_layout(spark):
+    nodes = spark.createDataFrame([(1, "a"), (2, "b")], "id long, label string")
+    layout = spark.createDataFrame([(1, 0.5, -1.0, 3)], "id long, x double, y double, cluster int")
+    assert sorted(tuple(r) for r in network.with_layout(nodes, layout).collect()) == [(1, "a", 0.5, -1.0, 3), (2, "b", 0.0, 0.0, 1)]
+    other = spark.createDataFrame([("a",), ("c",)], "label string")
+    assert sorted(tuple(r) for r in network.label_differences(nodes, other).collect()) == [("b", "other"), ("c", "nodes")]
+    assert network.label_differences(nodes, nodes).count() == 0
