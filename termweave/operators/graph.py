@@ -15,7 +15,7 @@ from termweave.operators.network import both_ways
 from termweave.session import cut
 
 #: Edges up to which betweenness holds the whole graph in each worker; passes over the nodes and levels of the communities.
-HELD_EDGES, PASSES, LEVELS = 2_000_000, 12, 6
+HELD_EDGES, PASSES, LEVELS = 2_000_000, 8, 5
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -55,8 +55,8 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, passes:
     """(id, cluster): communities of high modularity, numbered from 1, larger ones first, equal ones by their least id.
 
     The two steps of the Louvain method as joins: in a pass half of the nodes, chosen by a hash of node and pass, move to the
-    neighbouring community that gains most (ties to the lesser one); when moves stop, communities become the nodes of the
-    next level. Half at a time keeps neighbours from swapping for ever. Without edges all nodes are one cluster.
+    neighbouring community that gains most (ties to the lesser one); when hardly any moves, communities become the nodes of
+    the next level. Half at a time keeps neighbours from swapping for ever. Without edges all nodes are one cluster.
     """
     spark = nodes.sparkSession
     graph = cut(edges.filter("weight > 0").select("src", "dst", "weight"), "graph")
@@ -71,7 +71,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, passes:
         ends = links.groupBy("id").agg(F.sum("weight").alias("k"))
         ids = member.select(F.col("community").alias("id")).distinct()
         state = cut(ids.join(ends, "id", "left").join(loops, "id", "left").select("id", (F.coalesce("k", F.lit(0.0)) + 2 * F.coalesce("loop", F.lit(0.0))).alias("k"), F.col("id").alias("c")), "state")
-        moved_any = False
+        moved_any, count = False, state.count()
         for turn in range(passes):
             weight = state.groupBy("c").agg(F.sum("k").alias("tot"))
             near = links.join(state.select(F.col("id").alias("other"), F.col("c").alias("to")), "other").groupBy("id", "to").agg(F.sum("weight").alias("w"))
@@ -87,7 +87,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, passes:
             moves = nxt.filter("c <> before").count()
             state = nxt.select("id", "k", "c")
             moved_any = moved_any or moves > 0
-            if moves == 0 and turn % 2 == 1:
+            if turn % 2 == 1 and moves * 100 <= count:
                 break
         member = cut(member.join(state.select(F.col("id").alias("community"), "c"), "community").select("id", F.col("c").alias("community")), "member")
         if not moved_any:

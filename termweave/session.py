@@ -63,3 +63,12 @@ def release(spark: SparkSession) -> None:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast where df, a table already written by cut(), has at most so many rows; else leave a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as the cluster has cores, for work that is heavy per row.
+
+    Only an input smaller than the cluster, in few files, is exchanged for that; larger ones stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
