@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termweave.session import spread
+
 #: Characters per n-gram; labelled samples used for training at most (the first by hash of their text).
 ORDER, MOST_SAMPLES = 5, 20_000
 #: A line differs from its document if another language explains it better by so many nats in all and per character.
@@ -283,4 +285,4 @@ def languages(docs: DataFrame, samples: DataFrame, key: str, text: str, label: s
             cols = list(zip(*out)) if out else [()] * 7
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.bool_(), pa.bool_(), pa.string()))], names=[key, "seg", "lang", "confidence", "rejected", "mixed", "named"])
 
-    return docs.select(F.col(key).cast("long"), text, label_language(F.col(label)).alias("named")).mapInArrow(scan, schema)
+    return spread(docs.select(F.col(key).cast("long"), text, label_language(F.col(label)).alias("named"))).mapInArrow(scan, schema)

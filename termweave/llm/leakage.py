@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termweave.session import spread
+
 #: Words in an n-gram; hits on one diagonal that call for verification; how far off a diagonal a hit may lie.
 GRAM, HITS, BAND = 3, 2, 8
 #: Words a passage must span at least, the share of them that must agree, and items searched at a time.
@@ -154,7 +156,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, i
     """(doc_key, item_key, agreeing, begins, ends, item_share): one row per document and leaked item.
 
     Null and empty texts leak nothing; an item shorter than the span must be held whole. Documents are scanned whole, in
-    place: nothing is shuffled. Items are read on the driver in blocks, each broadcast by itself.
+    place, unless there are fewer partitions than cores. Items are read on the driver in blocks, each broadcast by itself.
     """
     spark = docs.sparkSession
     schema = f"{doc_key} long, {item_key} long, agreeing int, begins int, ends int, item_share double"
@@ -179,7 +181,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, i
                 cols = list(zip(*out)) if out else [()] * 6
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()))], names=[doc_key, item_key, "agreeing", "begins", "ends", "item_share"])
 
-        return docs.select(F.col(doc_key).cast("long"), doc_text).mapInArrow(scan, schema)
+        return spread(docs.select(F.col(doc_key).cast("long"), doc_text)).mapInArrow(scan, schema)
 
     found = scanner(parts[0])
     for part in parts[1:]:

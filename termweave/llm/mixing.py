@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termweave.session import cut
+from termweave.session import cut, spread
 
 #: A public byte-level BPE vocabulary as tiktoken ranks, and the pattern that splits texts for it. Fixed value.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -134,7 +134,7 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str =
     wanted = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in targets.filter("source IS NOT NULL").select("source", "target_share", "max_repeats").dropDuplicates(["source"]).toLocalIterator()}
     spark = docs.sparkSession
     names = docs.join(F.broadcast(spark.createDataFrame([(s,) for s in wanted], f"{source} string")), source, "left_semi")
-    counted = cut(token_counts(names.select(key, source, text), text, vocabulary).select(key, source, "tokens", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40)).alias("draw")), "tokens")
+    counted = cut(token_counts(spread(names.select(key, source, text)), text, vocabulary).select(key, source, "tokens", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40)).alias("draw")), "tokens")
     histogram: dict[str, dict[int, int]] = {}
     for r in counted.filter("tokens > 0").groupBy(source, "tokens").count().toLocalIterator():
         histogram.setdefault(r[0], {})[r[1]] = r[2]

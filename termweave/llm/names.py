@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termweave.llm.mapping import _edits
 from termweave.session import cut
 
 #: Nicknames and the formal names they stand for. Fixed values.
@@ -37,8 +39,8 @@ walt walter; will william; zach zachary; zack zachary; zak zachary
 """
 _FORMAL = {words[0]: words[1:] for words in (x.split() for x in NICKNAMES.split(";"))}
 
-#: Beginnings of words that name a kind of institution, words that only join, and particles of surnames. Fixed values.
-ORG_CUES = ("inst", "univ", "lab", "cons", "coun", "cent", "dept", "depa", "mini", "soci", "asso", "acad", "coll", "scho", "muse", "foun", "comp", "corp", "gmbh")
+#: Words that name a kind of institution, words that only join, and particles of surnames. Fixed values.
+ORG_WORDS = ("institute", "institut", "institution", "university", "laboratory", "consortium", "council", "center", "centre", "department", "ministry", "society", "association", "academy", "college", "school", "museum", "foundation", "company", "corporation", "gmbh", "dept")
 JOINING = {"of", "for", "the", "and", "fo", "fro", "on", "at", "in", "von", "de", "und", "et"}
 PARTICLES = {"van", "von", "de", "der", "den", "da", "di", "du", "la", "le", "al", "el", "ter", "ten", "dos", "das", "mac", "st"}
 
@@ -52,19 +54,25 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower().translate(_LETTERS)) if not unicodedata.combining(c))
 
 
+@lru_cache(maxsize=100_000)
+def _is_type(word: str) -> bool:
+    """Whether a word names a kind of institution: in full, with one slip, or abbreviated to three letters or more."""
+    return len(word) >= 3 and any(w.startswith(word) or len(word) > 5 and abs(len(w) - len(word)) <= 1 and _edits(w, word) <= 1 for w in ORG_WORDS)
+
+
 def _org(name: str) -> tuple[str, list[str]] | None:
     """(place, other words) of an institution, None where the name looks like a person's."""
     text = fold(name)
     plain = re.findall(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*\.?", text)
     words = [w.rstrip(".") for w in plain]
-    cues = sum(w.startswith(ORG_CUES) for w in words)
+    cues = sum(map(_is_type, words))
     abbreviated = sum(w.endswith(".") and len(w) > 3 for w in plain)
     joined = any(w in ("of", "for", "fo") for w in words)
     if len(words) < 3 or not (joined and len(words) >= 4 or "(" in text or abbreviated >= 2 or cues and len(words) >= 4):
         return None
     found = re.search(r"\(([^()]+)\)\s*$", text)
     # Joining words, also mistyped: what is left of them has at most four letters and one of their beginnings or ends.
-    content = [w for w in words if w not in JOINING and not (len(w) <= 2 or len(w) <= 4 and not w.startswith(ORG_CUES) and not plain[words.index(w)].endswith(".") and sorted(set(w)) in (["f", "o"], ["f", "o", "r"], ["e", "h", "t"]))]
+    content = [w for w in words if w not in JOINING and not (len(w) <= 2 or len(w) <= 4 and not _is_type(w) and not plain[words.index(w)].endswith(".") and sorted(set(w)) in (["f", "o"], ["f", "o", "r"], ["e", "h", "t"]))]
     if len(content) < 2:
         return None
     if found:
@@ -73,7 +81,7 @@ def _org(name: str) -> tuple[str, list[str]] | None:
         place = text.rsplit(",", 1)[1].strip(" .")
     elif words[0] == "the":
         place = content[0]
-    elif content[0].startswith(ORG_CUES) and not content[-1].startswith(ORG_CUES) and not plain[-1].endswith("."):
+    elif _is_type(content[0]) and not _is_type(content[-1]) and not plain[-1].endswith("."):
         place = content[-1]
     else:
         place = content[0]
@@ -215,13 +223,17 @@ def link_names(names: DataFrame) -> DataFrame:
     second = second.join(cores.filter("kind = 'person'").select(F.col("form").alias("target")), "target").filter("target <> form").select("form", "target", F.lit("second surname").alias("rule"))
 
     # Typing errors: forms with one character left out.
-    slips = cores.select("kind", "form", "k", "n", "family", "given", "spellings", "usual", F.explode(_shortened(F.col("form"))).alias("slip"))
-    a = slips.select("kind", "slip", *[F.col(c).alias(f"a_{c}") for c in ("form", "k", "n", "family", "given", "spellings", "usual")])
-    b = slips.select("kind", "slip", *[F.col(c).alias(f"b_{c}") for c in ("form", "k", "n", "family", "given", "spellings", "usual")])
+    # Words of institutions are in alphabetical order, which a slip in a first letter changes: so also ordered by their ends.
+    by_ends = F.concat("family", F.lit("|"), F.concat_ws(" ", F.array_sort(F.transform(F.split(F.substring_index("form", "|", -1), " "), F.reverse))))
+    texts = F.when(F.col("kind") == "org", F.array(F.col("form"), by_ends)).otherwise(F.array("form"))
+    columns = ("form", "text", "k", "n", "family", "given", "spellings", "usual")
+    slips = cores.select("*", F.explode(texts).alias("text")).select("kind", *columns, F.explode(_shortened(F.col("text"))).alias("slip"))
+    a = slips.select("kind", "slip", *[F.col(c).alias(f"a_{c}") for c in columns])
+    b = slips.select("kind", "slip", *[F.col(c).alias(f"b_{c}") for c in columns])
     # The rarer spelling is the slip: one spelling only, of a family or a given name that is hardly ever spelt so.
     fewer = F.struct("a_k", "a_n", "a_form") < F.struct("b_k", "b_n", "b_form")
-    odd = F.when(F.col("kind") == "org", fewer).when(F.col("a_family") != F.col("b_family"), (F.col("a_spellings") == 1) & ((F.col("b_spellings") > 1) | fewer)).otherwise(F.col("a_usual") < F.col("b_usual"))
-    near = a.join(b, ["kind", "slip"]).filter((F.col("a_k") == 1) & (F.col("a_form") != F.col("b_form")) & odd & one_edit(F.col("a_form"), F.col("b_form")))
+    odd = F.when(F.col("kind") == "org", fewer).when(F.col("a_family") != F.col("b_family"), (F.col("a_spellings") * 3 <= F.col("b_spellings")) | ((F.col("a_spellings") == 1) & ((F.col("b_spellings") > 1) | fewer))).otherwise(F.col("a_usual") < F.col("b_usual"))
+    near = a.join(b, ["kind", "slip"]).filter((F.col("a_k") == 1) & (F.col("a_form") != F.col("b_form")) & odd & one_edit(F.col("a_text"), F.col("b_text")))
     slip = _best(near, ["a_form"], [F.col("b_k"), F.col("b_n"), F.col("b_form")], ["b_form"]).select(F.col("a_form").alias("form"), F.col("b_form").alias("target"), F.lit("typing error").alias("rule"))
 
     # Targets of targets: second surnames and slips both lead to more usual forms, so two steps end each chain.
