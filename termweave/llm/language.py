@@ -21,7 +21,7 @@ from termweave.session import spread
 #: Characters per n-gram; labelled samples used for training at most (the first by hash of their text).
 ORDER, MOST_SAMPLES = 5, 20_000
 #: A line differs from its document if another language explains it better by so many nats in all and per character.
-MARGIN, MARGIN_PER_CHAR = 6.0, 0.12
+MARGIN, MARGIN_PER_CHAR = 16.0, 0.12
 #: Calibration: posteriors are of log likelihoods times this; rejected is what no model explains within so many nats per character.
 TEMPER, REJECT = 0.25, 6.5
 
