@@ -182,3 +182,9 @@ def equivalents(term: Column) -> Column:
         t = F.regexp_replace(t, "(?iU)" + pattern, replacement)
     t = F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), r"^ | $", "")
     return F.when(t == "", term).otherwise(t)
+
+
+def text_from_positions(index: Column) -> Column:
+    """Text of an inverted index map<word, array<position>>: words by position, then by name; null for a null index."""
+    placed = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
+    return F.when(index.isNotNull(), F.concat_ws(" ", F.transform(F.array_sort(placed), lambda x: x["w"])))

@@ -13,7 +13,7 @@ from termweave.operators import graph, network, rules, stats
 from termweave.operators.packed import split_fields
 from termweave.plans import corpus as corpora
 from termweave.session import cut
-from termweave.sources import sinks
+from termweave.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -467,3 +467,49 @@ def network_dense(spark: SparkSession, folder: str) -> DataFrame:
 def thesaurus_rows(spark: SparkSession, folder: str) -> DataFrame:
     given = cut(_thesaurus(spark, folder), "rules")
     return sinks.thesaurus_rows(rules.resolve(rules.winning(given)), rules.drop_terms(given))
+
+
+# -- sources ---------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_NET_B} x AS (SELECT 1) SELECT src, dst, weight FROM e")
+def network_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges written as lines, in either order of ends, and read again."""
+    lines = sinks.network_rows(_net_b(spark, folder).edges)
+    turned = F.when(F.col("src") % 2 == 0, F.regexp_replace("line", r"^(\d+)\t(\d+)", "$2\t$1")).otherwise(F.col("line"))
+    return readers.network_of_lines(lines.select(turned.alias("value")))
+
+
+@query("SELECT doc_id, text FROM documents")
+def inverted_abstracts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts rebuilt from their inverted indexes."""
+    words = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    index = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("places")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
+    return index.select("doc_id", text.text_from_positions(F.col("index")).alias("text"))
+
+
+#: How a record is written in each format of tagged lines: parts before, between and after title, year, source and keywords.
+_EXPORTS = {
+    "wos": ("PT J\nTI {t}\nSO {s}\nPY {y}\nDE {k}\nER\n\n"),
+    "ris": ("TY  - JOUR\nTI  - {t}\nJO  - {s}\nPY  - {y}\nKW  - {k}\nER  - \n"),
+    "refworks": ("RT Journal\nT1 {t}\nJF {s}\nYR {y}\nK1 {k}\n\n"),
+    "endnote": ("%0 Journal Article\n%T {t}\n%J {s}\n%D {y}\n%K {k}\n\n"),
+}
+_YEAR_SQL = r"regexp_extract(coalesce(pub_year, ''), '(?:^|[^\p{L}\p{N}_])((?:19|20)\d{2})(?:$|[^\p{L}\p{N}_])', 1)"
+_READ_SQL = f"""WITH r AS (SELECT DISTINCT raw_id, src_file, title, pub_year, source FROM raw_exports)
+SELECT src_file, row_number() OVER (PARTITION BY src_file ORDER BY raw_id) - 1 AS ordinal, trim(coalesce(title, '')) AS title, {_YEAR_SQL} AS pub_year, trim(coalesce(source, '')) AS source, ['alpha', 'beta'] AS keywords FROM r"""
+_READ_RIS_SQL = _READ_SQL.replace("['alpha', 'beta']", "['alpha; beta']")
+
+
+def _read_again(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The publications of raw_exports written as one export per file, and read again."""
+    raw = table(spark, folder, "raw_exports").select("raw_id", "src_file", "title", "pub_year", "source").distinct()
+    entry = F.lit(_EXPORTS[name])
+    for mark, value in (("{t}", F.col("title")), ("{s}", F.col("source")), ("{y}", F.col("pub_year")), ("{k}", F.lit("alpha; beta"))):
+        entry = F.replace(entry, F.lit(mark), F.coalesce(value, F.lit("")))
+    texts = raw.select("src_file", "raw_id", entry.alias("entry")).groupBy("src_file").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("raw_id", "entry"))), lambda x: x["entry"])).alias("text"))
+    return readers.parse_texts(texts, "src_file", "text", name).select("src_file", "ordinal", "title", "pub_year", "source", "keywords")
+
+
+for _name in ("wos", "ris", "refworks", "endnote"):
+    query(_READ_RIS_SQL if _name == "ris" else _READ_SQL, f"{_name}_reader")(lambda spark, folder, _name=_name: _read_again(spark, folder, _name))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side counts as small. At a few hundred bytes a row this stays far below an executor's memory.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 _written: dict[str, list[str]] = {}
 
@@ -36,7 +36,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="termweave-")
     atexit.register(shutil.rmtree, folder, True)

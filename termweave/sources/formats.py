@@ -114,7 +114,7 @@ def tagged_records(text: str, form: Tagged) -> Iterator[dict[str, list[str]]]:
     """The tags and values of each record of a text."""
     record: dict[str, list[str]] = {}
     current = None
-    for line in text.splitlines():
+    for line in re.split("\r\n|\n|\r", text):
         if not line.strip():
             continue
         m = form.tag.match(line)

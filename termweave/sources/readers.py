@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from termweave.sources import formats
 
@@ -73,6 +76,24 @@ def read_bib(spark: SparkSession, paths: str | list[str], format: str | None = N
     return reader.load("\n".join([paths] if isinstance(paths, str) else paths))
 
 
+def parse_texts(df: DataFrame, key: str, text: str, format: str) -> DataFrame:
+    """(key, ordinal, and the canonical columns) of exports that are held as texts in a column; null texts have no records."""
+    kind = df.schema[key].dataType.simpleString()
+    columns = formats.SCHEMA.split(", ", 3)[3]
+
+    def work(batches):
+        for batch in batches:
+            rows = []
+            for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = formats.parse(value.encode(), format=format)[1] if value else []
+                rows += [{key: k, "ordinal": i, **r, "raw": list(r["raw"].items())} for i, r in enumerate(found)]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    ddl = f"`{key}` {kind}, ordinal bigint, {columns}"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    return df.select(key, text).mapInArrow(work, ddl)
+
+
 def notes(records: DataFrame) -> DataFrame:
     """(src_file, src_format, records): one row per file."""
     return records.groupBy("src_file", "src_format").agg(F.count("*").alias("records"))
@@ -127,8 +148,13 @@ def read_map(spark: SparkSession, path: str) -> DataFrame:
 
 def read_network(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst, weight) of a network file without header: ends in rising order, repeated edges summed, bad rows skipped."""
+    return network_of_lines(spark.read.text(path))
+
+
+def network_of_lines(lines: DataFrame) -> DataFrame:
+    """read_network of a table with a column value, one line a row."""
     cells = F.split(_no_mark(F.col("value")), "\t")
-    rows = spark.read.text(path).select(cells.alias("c")).filter(F.size("c") >= 2)
+    rows = lines.select(cells.alias("c")).filter(F.size("c") >= 2)
     strength = F.trim(F.coalesce(F.get("c", F.lit(2)), F.lit("")))
     parsed = rows.select(F.trim(F.col("c")[0]).try_cast("bigint").alias("a"), F.trim(F.col("c")[1]).try_cast("bigint").alias("b"), F.when(strength == "", 1.0).otherwise(strength.try_cast("double")).alias("w"))
     return parsed.filter("a IS NOT NULL AND b IS NOT NULL AND w IS NOT NULL").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("w").alias("weight"))

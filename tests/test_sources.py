@@ -134,3 +134,13 @@ def test_stream(spark, tmp_path):
     increment.count_stream(stream, str(tmp_path / "counts"), str(tmp_path / "check")).awaitTermination(60)
     got = {r["term"]: r["df"] for r in increment.totals(spark, str(tmp_path / "counts")).collect()}
     assert got == {r["term"]: r["df"] for r in network.document_frequency(docs.select("doc_id", F.col("terms"))).collect()} == {"a": 2, "b": 1}
+
+
+def test_texts_in_columns(spark):
+    from termweave.functions.text import text_from_positions
+
+    df = spark.createDataFrame([("f1", RIS), ("f2", None), ("f3", "")], "f string, text string")
+    rows = readers.parse_texts(df, "f", "text", "ris").orderBy("ordinal").collect()
+    assert [(r["f"], r["ordinal"], r["title"]) for r in rows] == [("f1", 0, "On tests"), ("f1", 1, "Other")] and rows[0]["raw"]["KW"] == ["alpha; beta", "gamma."]
+    index = spark.createDataFrame([({"b": [1], "a": [0, 2]},), ({},), (None,)], "m map<string,array<int>>")
+    assert [r[0] for r in index.select(text_from_positions(F.col("m"))).collect()] == ["a b a", "", None]
