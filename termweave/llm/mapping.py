@@ -78,33 +78,31 @@ class Trie:
         for i, ch in enumerate(text):
             masks[ch] = masks.get(ch, 0) | 1 << (i + 1)
         full, end = (1 << (len(text) + 1)) - 1, 1 << len(text)
-        # states[j]: bit i is set where the first i characters of text match the path so far with at most j edits.
-        start = tuple((1 << (j + 1)) - 1 & full for j in range(most + 1))
+        # State j: bit i is set where the first i characters of text match the path so far with at most j edits. The states
+        # of one character before serve swapped neighbours. Written out for up to two edits, which is what distances allow.
+        if most > 2:
+            raise ValueError("at most two edits")
+        two = most == 2
         found: list[tuple[int, str, str]] = []
-        stack = [(self.root, start, None, 0)]
-        get = masks.get
-        levels = range(1, most + 1)
+        stack = [(self.root, 1, 3 & full, 7 & full if two else 0, 0, 0, 0)]
+        push, pop, get = stack.append, stack.pop, masks.get
         while stack:
-            node, states, before, last = stack.pop()
+            node, s0, s1, s2, b0, b1, last = pop()
             for ch, child in node.items():
                 if ch is None:
-                    for j, state in enumerate(states):
-                        if state & end:
-                            found += [(j, *hit) for hit in child]
-                            break
+                    d = 0 if s0 & end else 1 if s1 & end else 2 if s2 & end else 3
+                    if d <= most:
+                        found += [(d, *hit) for hit in child]
                     continue
                 mask = get(ch, 0)
-                new = (states[0] << 1) & mask
-                out = [new]
-                for j in levels:
-                    lower = states[j - 1]
-                    up = ((states[j] << 1) & mask) | lower | (lower << 1) | (new << 1)
-                    if before is not None:
-                        up |= (((before[j - 1] << 1) & mask) << 1) & last
-                    new = up & full
-                    out.append(new)
-                if new:
-                    stack.append((child, tuple(out), states, mask))
+                n0 = (s0 << 1) & mask
+                n1 = (((s1 << 1) & mask) | s0 | (s0 << 1) | (n0 << 1) | ((((b0 << 1) & mask) << 1) & last)) & full
+                if two:
+                    n2 = (((s2 << 1) & mask) | s1 | (s1 << 1) | (n1 << 1) | ((((b1 << 1) & mask) << 1) & last)) & full
+                    if n2:
+                        push((child, n0, n1, n2, s0, s1, mask))
+                elif n1:
+                    push((child, n0, n1, 0, s0, s1, mask))
         return found
 
     def abbreviated(self, text: str) -> set[str]:
