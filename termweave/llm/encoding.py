@@ -31,7 +31,8 @@ LOST = "�"
 #: Lengths of the windows of a run of characters that are looked up besides whole tokens: of western and of eastern runs.
 WEST, EAST = (2, 3, 4, 6), (2, 3)
 
-_TOKEN = r"(?:[A-Za-z]*(?:&[A-Za-z]{2,8};|[^\x00-\x7f])(?:[A-Za-z]|&[A-Za-z]{2,8};|[^\x00-\x7f])*)"
+# Begun only where no letter precedes and without going back, so that plain words are passed over once.
+_TOKEN = r"(?:(?<![A-Za-z])[A-Za-z]*+(?:&[A-Za-z]{2,8};|[^\x00-\x7f])(?:[A-Za-z]|&[A-Za-z]{2,8};|[^\x00-\x7f])*)"
 _WEST_RUN, _EAST_RUN = r"[\x{80}-\x{2e7f}\x{fffd}]{2,}", r"[\x{2e80}-\x{fffc}]{2,}"
 _CHINESE = re.compile("[一-鿿。，、；：！？（）《》“”]+")
 
