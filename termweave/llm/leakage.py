@@ -22,6 +22,8 @@ from termweave.session import spread
 GRAM, HITS, BAND = 3, 2, 8
 #: Words a passage must span at least, the share of them that must agree, and items searched at a time.
 SPAN, SHARE, BLOCK = 15, 0.7, 20_000
+#: Share of the words of a short altered passage that may be changed, dropped or inserted, and how many of them at its ends.
+CHANGED, ENDS = 0.25, 2
 
 _HIDDEN = "­​‌‍⁠⁡⁢⁣⁤﻿‎‏"
 _PIECE = f"(?:[^\\W_][{_HIDDEN}̀-ͯ]*)+"
@@ -106,6 +108,59 @@ def best_stretch(item: list[str], doc: list[str], centre: int) -> tuple[int, int
     return best
 
 
+def altered_stretch(item: list[str], doc: list[str], centre: int, need: int) -> tuple[int, int, int, int, int] | None:
+    """(agreeing, item from, item to, doc from, doc to) of an altered passage of need words or more near doc = item + centre.
+
+    The alignment hardly counts changes, so that it goes on to the last agreeing word however many changes lie before it;
+    then the stretches of it that begin and end with agreeing words are judged by their share of changes. Up to ENDS changed
+    words at the ends may be missing to the need and count as changes; so a shorter quotation is none.
+    """
+    width = 2 * BAND + 1
+    before, ways = [0] * width, []
+    best, at = 0, (0, 0)
+    for i, word in enumerate(item):
+        row, way = [0] * width, bytearray(width)
+        first = i + centre - BAND
+        for k in range(max(0, -first), min(width, len(doc) - first)):
+            other = doc[first + k]
+            same = word == other or len(word) > 3 and len(other) > 3 and _alike(word, other)
+            score, step = before[k] + (6 if same else -1), 1 if same else 2
+            if k + 1 < width and before[k + 1] - 4 > score:
+                score, step = before[k + 1] - 4, 3
+            if k and row[k - 1] - 4 > score:
+                score, step = row[k - 1] - 4, 4
+            if score > 0:
+                row[k], way[k] = score, step
+                if score > best:
+                    best, at = score, (i, k)
+        ways.append(way)
+        before = row
+    i, k = at
+    agreed: list[tuple[int, int, int]] = []  # item word, doc word, changes after it up to the end
+    changes = 0
+    while i >= 0 and 0 <= k < width and (step := ways[i][k]):
+        if step == 1:
+            agreed.append((i, i + centre - BAND + k, changes))
+        else:
+            changes += 1
+        if step == 4:
+            k -= 1
+        else:
+            i, k = i - 1, k + (step == 3)
+    found = None
+    for n, (a, c, left) in enumerate(agreed):
+        for m in range(n + 1):
+            b, d, right = agreed[m]
+            spanned, edits, agreeing = b - a + 1, left - right, n - m + 1
+            if spanned < need - ENDS:
+                break
+            missing = max(0, need - spanned)
+            if edits + missing <= CHANGED * (spanned + missing):
+                stretch = (2 * agreeing - 3 * edits, agreeing, a, b + 1, c, d + 1)
+                found = max(found, stretch) if found else stretch
+    return found and found[1:]
+
+
 class Items:
     """Test items and the hash set of their n-grams."""
 
@@ -136,12 +191,14 @@ class Items:
             need = min(span, len(item))
             found.sort()
             best = (0, 0, 0, 0, 0)
+            centres = []
             start = 0
             for n in range(1, len(found) + 1):
                 if n == len(found) or found[n][0] - found[start][0] > BAND:
                     group = found[start:n]
-                    if len(group) >= HITS and max(i for _, i in group) - min(i for _, i in group) + GRAM >= need // 2:
-                        best = max(best, best_stretch(item, doc, sorted(d for d, _ in group)[len(group) // 2]))
+                    if len(group) >= HITS:
+                        centres.append(group[len(group) // 2][0])
+                        best = max(best, best_stretch(item, doc, centres[-1]))
                     start = n
             score, a, b, c, d = best
             spanned = b - a
@@ -149,6 +206,11 @@ class Items:
             agreeing = (score + 3 * spanned) / 5
             if spanned >= need - 2 and agreeing >= share * need and score >= 2 * need * share - 3 * need * (1 - share):
                 out.append((k, round(agreeing), places[c][0], places[d - 1][1], spanned / len(item)))
+                continue
+            altered = [x for centre in centres if (x := altered_stretch(item, doc, centre, need))]
+            if altered:
+                agreeing, a, b, c, d = max(altered)
+                out.append((k, agreeing, places[c][0], places[d - 1][1], (b - a) / len(item)))
         return out
 
 

@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import pytest
 
@@ -61,3 +62,31 @@ def test_empty(frames):
 
 def test_words():
     assert leakage.words("<i>Caf́e</i>, Über-\nmut [3] x_y​z")[0] == ["cafe", "ubermut", "x", "yz"]
+
+
+def fewest_changed(flags):
+    """The least share of changed words in a stretch of 15 or more that begins and ends unchanged."""
+    kept = [i for i, f in enumerate(flags) if not f]
+    return min((sum(flags[a : b + 1]) / (b - a + 1) for a in kept for b in kept if b - a >= 14), default=1.0)
+
+
+def test_short_altered_passages():
+    """Every passage of 15 words or more with one word in five changed is found, wherever the changes lie."""
+    rng = random.Random(3)
+    vocab = [f"w{i}{a}ord" for i in range(200) for a in "abc"]
+    item_words, fill = [rng.choice(vocab) for _ in range(60)], FILL.split()
+    items = leakage.Items([(1, " ".join(item_words))])
+
+    def found(words):
+        return bool(items.found_in(" ".join(fill + words + fill), {}, leakage.SPAN, leakage.SHARE))
+
+    cases = [[i in at for i in range(n)] for n, c in ((15, 2), (15, 3)) for at in combinations(range(n), c)]
+    cases += [[i in at for i in range(n)] for n, c in ((18, 4), (20, 4)) for at in (set(rng.sample(range(n), c)) for _ in range(300))]
+    # Three changes at the ends alone leave twelve words as they were, a shorter quotation.
+    cases = [c for c in cases if any(c[c.index(False) : len(c) - c[::-1].index(False)]) or sum(c) < 3]
+    cases += [c for c in ([rng.random() < 0.2 for _ in range(30)] for _ in range(300)) if fewest_changed(c) <= 0.25]
+    lost = [c for c in cases if not found(["changed" if f else w for f, w in zip(c, item_words[20:])])]
+    assert not lost
+    assert not found(item_words[20:32]) and not found(["changed" if i % 5 in (1, 3) else w for i, w in enumerate(item_words[20:40])])
+    dropped = item_words[20:23] + item_words[24:29] + ["more"] + item_words[29:31] + ["changed"] + item_words[32:36]
+    assert found(dropped)
