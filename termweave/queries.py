@@ -12,6 +12,7 @@ from termweave.functions.rows import latest
 from termweave.operators import graph, network, rules, stats
 from termweave.operators.packed import split_fields
 from termweave.plans import corpus as corpora
+from termweave.plans import pipeline
 from termweave.session import cut
 from termweave.sources import readers, sinks
 
@@ -38,6 +39,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 #: Thresholds of the document corpus: terms in so many documents, as a share of all, become nodes; for pairs of rare terms.
 DOCS_SHARE, BASKET_MIN = 20, 2
+#: Documents a word of the whole document network needs, as in the staged analysis; it does not grow with the table.
+DOCS_MIN = pipeline.Options.min_occurrences
 
 # -- SQL shared by the queries ---------------------------------------------------------------------------------------------
 
@@ -86,10 +89,10 @@ def _docs_least(spark: SparkSession, folder: str) -> int:
     return table(spark, folder, "documents").count() // DOCS_SHARE
 
 
-def _net_d(spark: SparkSession, folder: str, counting: str = "full") -> tuple[network.Network, DataFrame]:
-    """The network of the documents' words, and the clusters of its nodes."""
+def _net_d(spark: SparkSession, folder: str, counting: str = "full", least: int | None = None) -> tuple[network.Network, DataFrame]:
+    """The network of the documents' words, and the clusters of its nodes; without least that of the SQL's frequent words."""
     docs = cut(corpora.from_documents(spark, folder), "docs")
-    net = network.build(docs, counting, _docs_least(spark, folder))
+    net = network.build(docs, counting, _docs_least(spark, folder) if least is None else least)
     here = docs.select("doc_id", "lang", F.explode("terms").alias("label")).join(net.nodes.select("id", "label"), "label")
     most = here.groupBy("id", "lang").count().groupBy("id").agg(F.min(F.struct((-F.col("count")).alias("neg"), "lang")).alias("b")).select("id", F.col("b.lang").alias("lang"))
     names = most.select("lang").distinct()
@@ -366,16 +369,16 @@ _D_ALL = f"WITH {_NET_D} {_CLUSTERS}"
 
 
 @query(f"{_D_ALL} {_GAPS} x AS (SELECT 1) SELECT ta AS term_a, tb AS term_b, cla AS cluster_a, clb AS cluster_b, oa AS occ_a, ob AS occ_b, actual, round(expected, 6) AS expected, round(ratio, 6) AS ratio, round(p_value, 6) AS p_value, p_value < 0.05 AS significant FROM h")
-def gaps(spark: SparkSession, folder: str) -> DataFrame:
+def gaps(spark: SparkSession, folder: str, least: int | None = None) -> DataFrame:
     """Words of different languages' texts found together less than by chance: every pair tested."""
-    net, clusters = _net_d(spark, folder)
+    net, clusters = _net_d(spark, folder, least=least)
     pairs = stats.gap_pairs(net.nodes, net.edges, clusters, net.n_docs)
     return pairs.select("term_a", "term_b", "cluster_a", "cluster_b", "occ_a", "occ_b", "actual", *[F.round(c, 6).alias(c) for c in ("expected", "ratio", "p_value")], "significant")
 
 
 @query(f"{_D_ALL} {_GAPS} x AS (SELECT 1) SELECT count(*) AS n_tested, count(*) FILTER (p_value < 0.05) AS n_significant FROM h")
-def gap_summary(spark: SparkSession, folder: str) -> DataFrame:
-    net, clusters = _net_d(spark, folder)
+def gap_summary(spark: SparkSession, folder: str, least: int | None = None) -> DataFrame:
+    net, clusters = _net_d(spark, folder, least=least)
     return stats.gap_summary(stats.gap_pairs(net.nodes, net.edges, clusters, net.n_docs))
 
 
@@ -388,26 +391,31 @@ mq AS (SELECT sum(coalesce(w, 0) / m - (dw / (2 * m)) * (dw / (2 * m))) AS q FRO
 
 
 @query(f"{_D_ALL} {_Q} x AS (SELECT 1) SELECT round(q, 9) AS q FROM mq")
-def modularity(spark: SparkSession, folder: str) -> DataFrame:
-    net, clusters = _net_d(spark, folder)
+def modularity(spark: SparkSession, folder: str, least: int | None = None) -> DataFrame:
+    net, clusters = _net_d(spark, folder, least=least)
     return stats.modularity(net.edges, clusters).select(F.round("q", 9).alias("q"))
 
 
 @query(f"""{_D_ALL} {_NODES} r AS (SELECT cluster, nodes.*, row_number() OVER (PARTITION BY cluster ORDER BY total_link_strength DESC, id) AS rk FROM nodes JOIN cl USING (id))
 SELECT cluster, count(*) AS size, list(label ORDER BY rk) FILTER (rk <= 8) AS top_terms, CAST(sum(occurrences) AS BIGINT) AS total_occurrences, round(avg(avg_year) FILTER (avg_year > 0), 6) AS avg_year, round(avg(avg_citations) FILTER (avg_citations > 0), 6) AS avg_citations FROM r GROUP BY cluster""")
-def cluster_profile(spark: SparkSession, folder: str) -> DataFrame:
-    net, clusters = _net_d(spark, folder)
+def cluster_profile(spark: SparkSession, folder: str, least: int | None = None) -> DataFrame:
+    net, clusters = _net_d(spark, folder, least=least)
     return stats.cluster_profile(net.nodes, clusters).withColumn("avg_year", F.round("avg_year", 6)).withColumn("avg_citations", F.round("avg_citations", 6))
 
 
 @query(f"""{_D_ALL} {_Q} x AS (SELECT 1) SELECT (SELECT count(*) FROM d) AS n_docs, (SELECT count(*) FROM n) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, (SELECT count(DISTINCT cluster) FROM cl) AS n_clusters,
 (SELECT round(q, 9) FROM mq) AS q, (SELECT CASE WHEN q >= 0.5 THEN 'clear' WHEN q >= 0.3 THEN 'acceptable' WHEN q > 0 THEN 'weak' ELSE 'none' END FROM mq) AS verdict,
 (SELECT round(avg(weight / (a.occurrences * b.occurrences)), 9) FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst) AS mean_association""")
-def network_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    net, clusters = _net_d(spark, folder)
+def network_metrics(spark: SparkSession, folder: str, least: int | None = None) -> DataFrame:
+    net, clusters = _net_d(spark, folder, least=least)
     return stats.network_summary(net.nodes, net.edges, clusters, net.n_docs).withColumn("q", F.round("q", 9)).withColumn("mean_association", F.round("mean_association", 9))
 
 
+# The queries above keep the share of documents that their SQL has; these run over every word of DOCS_MIN documents.
+for _whole in (gaps, gap_summary, modularity, cluster_profile, network_metrics):
+    query(name=f"{_whole.__name__}_whole")(lambda spark, folder, _whole=_whole: _whole(spark, folder, DOCS_MIN))
+
+
 def _strong(net: network.Network) -> DataFrame:
     """Edges of at least 1.15 times the mean weight, so that components differ."""
     mean = net.edges.agg((F.avg("weight") * 1.15).alias("least"))
@@ -433,7 +441,7 @@ def largest_component(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def louvain(spark: SparkSession, folder: str) -> DataFrame:
     """Communities of the words' network."""
-    net, _ = _net_d(spark, folder)
+    net, _ = _net_d(spark, folder, least=DOCS_MIN)
     return graph.louvain(net.nodes, net.edges)
 
 
