@@ -34,6 +34,11 @@ WEST, EAST = (2, 3, 4, 6), (2, 3)
 # Begun only where no letter precedes and without going back, so that plain words are passed over once.
 _TOKEN = r"(?:(?<![A-Za-z])[A-Za-z]*+(?:&[A-Za-z]{2,8};|[^\x00-\x7f])(?:[A-Za-z]|&[A-Za-z]{2,8};|[^\x00-\x7f])*)"
 _WEST_RUN, _EAST_RUN = r"[\x{80}-\x{2e7f}\x{fffd}]{2,}", r"[\x{2e80}-\x{fffc}]{2,}"
+#: Several bytes read as one character each can stand for a character of western or Chinese text; other scripts come of chance.
+_BYTEWISE = {r for r in READ_AS["utf-8"] if r not in ("gbk", "big5", "gb18030", "shift_jis", "euc_kr")}
+_USUAL = re.compile("(?:[\x00-\x7f¡-ſ‐-…€]|[一-鿿。，、；：！？（）《》“”])+")
+#: Forms of single characters that no sound text holds: the second sign neither ends a word nor is a footnote mark.
+_SURE_SHORT = re.compile("Ã[¡¢£¤¥¦§¨©¬¯±´µ¶¸¼½¾¿]|â€.")
 _CHINESE = re.compile("[一-鿿。，、；：！？（）《》“”]+")
 
 
@@ -81,6 +86,21 @@ def garbled_forms(word: str) -> Iterator[tuple[str, str]]:
                 yield form.replace("Ã", "&Atilde;").replace("â", "&acirc;"), f"{written}>{read}"
 
 
+def unambiguous(form: str, word: str, chain: str) -> bool:
+    """Whether a form that reads back to its word proves damage by itself, however often either occurs."""
+    steps = chain.split(">")
+    if set(steps[::2]) != {"utf-8"} or not _BYTEWISE.issuperset(steps[1::2]) or not _USUAL.fullmatch(word):
+        return False
+    return len(form) >= 4 or set(steps[1::2]) <= set(TWICE) and bool(_SURE_SHORT.fullmatch(form))
+
+
+def sound(word: str) -> bool:
+    """Whether a word isn't itself an unambiguous form of another."""
+    chains = [f"utf-8>{read}" for read in TWICE]
+    before = repair(word, chains)
+    return before is None or not any(unambiguous(word, before, chain) for chain in chains)
+
+
 def repair(text: str, chains: list[str]) -> str | None:
     """text read back along the first chain that fits it as a whole; None if none does."""
     plain = text.replace("&Atilde;", "Ã").replace("&acirc;", "â").replace("&Acirc;", "Â")
@@ -124,10 +144,11 @@ def garbled_table(vocabulary: DataFrame) -> DataFrame:
     """(form, word, chain, kind, reads_back) from (unit, as_char, n): forms of the units, with n of the word as weight.
 
     as_char marks units that are characters within words; of those only forms of UTF-8 read byte by byte tell anything.
+    sure marks forms that prove damage whatever the counts, sound words that are no such forms.
     kind is 'east' for forms of few Chinese characters, which prove little alone, else 'west'. Forms equal to their word and
     forms within ASCII are left out.
     """
-    schema = "form string, word string, chain string, weight long, kind string, reads_back boolean"
+    schema = "form string, word string, chain string, weight long, kind string, reads_back boolean, sure boolean, sound boolean"
 
     def forms(batches):
         for batch in batches:
@@ -138,6 +159,7 @@ def garbled_table(vocabulary: DataFrame) -> DataFrame:
                 chinese = bool(_CHINESE.fullmatch(word))
                 if chinese and len(word) > 2:
                     continue
+                whole = sound(word)
                 for form, chain in set(garbled_forms(word)):
                     if form == word or form.isascii() and "&" not in form:
                         continue
@@ -147,13 +169,13 @@ def garbled_table(vocabulary: DataFrame) -> DataFrame:
                         continue
                     east = all(ord(c) > 0x2E7F for c in form)
                     back = LOST not in form and repair(form, [chain]) == word
-                    rows.append((form, word, chain, n, "east" if east and len(form) < 6 else "west", back))
-            yield pa.RecordBatch.from_pylist([dict(zip(("form", "word", "chain", "weight", "kind", "reads_back"), r)) for r in rows], schema=_TABLE)
+                    rows.append((form, word, chain, n, "east" if east and len(form) < 6 else "west", back, back and whole and unambiguous(form, word, chain), whole))
+            yield pa.RecordBatch.from_pylist([dict(zip(("form", "word", "chain", "weight", "kind", "reads_back", "sure", "sound"), r)) for r in rows], schema=_TABLE)
 
     return vocabulary.select("unit", "as_char", "n").mapInArrow(forms, schema)
 
 
-_TABLE = pa.schema([("form", pa.string()), ("word", pa.string()), ("chain", pa.string()), ("weight", pa.int64()), ("kind", pa.string()), ("reads_back", pa.bool_())])
+_TABLE = pa.schema([("form", pa.string()), ("word", pa.string()), ("chain", pa.string()), ("weight", pa.int64()), ("kind", pa.string()), ("reads_back", pa.bool_()), ("sure", pa.bool_()), ("sound", pa.bool_())])
 
 
 @F.arrow_udf(T.StringType())
@@ -162,12 +184,17 @@ def _restore(text: pa.Array, hits: pa.Array) -> pa.Array:
     for value, found in zip(text.to_pylist(), hits.to_pylist()):
         chains: dict[str, int] = {}
         words = {}
+        some = any(h["sound"] for h in found)
         for h in found:
+            if some and not h["sound"]:
+                continue
             chains[h["chain"]] = chains.get(h["chain"], 0) + 1
             if h["reads_back"]:
                 words.setdefault(h["form"], h["word"])
         order = sorted(chains, key=lambda c: (-chains[c], c))
         whole = repair(value, order[:1]) if not value.isascii() else None
+        if whole is not None and not sound(whole):
+            whole = repair(whole, [f"utf-8>{read}" for read in TWICE])
         if whole is not None and not any(f in whole for f in words):
             out.append(whole)
             continue
@@ -190,12 +217,13 @@ def find_garbled(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     counted = [units.select(F.explode(c).alias("unit"), F.lit(c == "characters").alias("as_char")) for c in ("units", "characters")]
     vocabulary = cut(counted[0].unionByName(counted[1]).groupBy("unit", "as_char").agg(F.count("*").alias("n")), "vocabulary")
     table = garbled_table(vocabulary.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "unit"))
-    # Forms that occur, less often than the word they come from; of several words the most usual one.
-    met = table.join(vocabulary.filter("NOT as_char").select(F.col("unit").alias("form"), F.col("n").alias("met")), "form").filter(F.col("weight") >= F.col("met"))
-    best = met.groupBy("form").agg(F.max_by(F.struct("word", "chain", "kind", "reads_back"), F.struct("weight", "word", "chain")).alias("_b")).select("form", "_b.*")
+    # Forms that occur, less often than the word they come from unless they are sure; of several words a sure
+    # one, then the most usual one.
+    met = table.join(vocabulary.filter("NOT as_char").select(F.col("unit").alias("form"), F.col("n").alias("met")), "form").filter((F.col("weight") >= F.col("met")) | F.col("sure"))
+    best = met.groupBy("form").agg(F.max_by(F.struct("word", "chain", "kind", "reads_back", "sound"), F.struct("sure", "weight", "word", "chain")).alias("_b")).select("form", "_b.*")
     known = broadcast_if_small(cut(best, "garbled"))
     seen = units.select(key, "field", F.explode("units").alias("form"))
-    hits = seen.join(known, "form").groupBy(key, "field").agg(F.collect_list(F.struct("form", "word", "chain", "kind", "reads_back")).alias("hits"))
+    hits = seen.join(known, "form").groupBy(key, "field").agg(F.collect_list(F.struct("form", "word", "chain", "kind", "reads_back", "sound")).alias("hits"))
     lost = units.filter(F.exists("units", lambda u: u.contains(LOST))).select(key, "field").distinct().withColumn("lost", F.lit(True))
     # A short form in Chinese characters may be a chance; two in one value are not.
     enough = hits.filter(F.exists("hits", lambda h: h["kind"] == "west") | (F.size(F.filter("hits", lambda h: h["kind"] == "east")) >= 2))

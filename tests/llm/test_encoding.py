@@ -49,3 +49,13 @@ def test_round_trip(chain):
     text = CLEAN[0]
     assert encoding.repair(damage(text, chain), [chain]) == text
     assert damage(text, chain) in {f for f, _ in encoding.garbled_forms(text)}
+
+
+def test_mostly_damaged(spark):
+    """A source delivered wrongly read outweighs the sound values of a word; its values are found and repaired all the same."""
+    text, other = "Größe der Gärten", "schön grün"
+    rows = [(0, text), (1, "hö è û"), (2, "ü ä")] + [(10 + i, damage(text, c)) for i, c in enumerate(("utf-8>cp1252", "utf-8>latin-1", "utf-8>cp437") * 4)]
+    rows += [(30 + i, damage(other, "utf-8>cp1252")) for i in range(9)] + [(50 + i, "«A IRMÃ» e “AMANHÃ”, LÃ²") for i in range(5)]
+    df = spark.createDataFrame(rows, "k long, text string")
+    got = {r["k"]: r["restored"] for r in encoding.repair_garbled(df, "k", ["text"]).collect()}
+    assert got == {k: text if k < 30 else other for k, _ in rows if 10 <= k < 50}
