@@ -113,14 +113,21 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that hold passages of test items, with the place of the passage."""
+    """Every passage of a test item in a document, with its place."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return leakage.find_leaks(docs, table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text")
+    return leakage.find_passages(docs, table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and the test items that they leak."""
-    return p8_leaks(spark, folder).select("doc_id", "item_id")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return leakage.find_leaks(docs, table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text").select("doc_id", "item_id")
+
+
+def p8_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, without the passages of test items."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return leakage.without_leaks(docs, p8_leaks(spark, folder), "doc_id", "text")
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,7 +156,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_frequency": p1_frequency, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found,
-           "p7_found": p7_found, "p7_matches": p7_matches, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_languages": p10_languages}
+           "p7_found": p7_found, "p7_matches": p7_matches, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_cleaned": p8_cleaned, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_languages": p10_languages}
 
 #: The normal form in DuckDB: NFC and the full-width forms, which together stand for NFKC on the terms of the test tables.
 _WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")

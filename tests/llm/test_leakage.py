@@ -47,7 +47,7 @@ def test_found(frames, block):
 
 def test_removed(frames):
     docs, items = frames
-    leaks = leakage.find_leaks(docs, items, "doc_id", "text", "item_id", "text")
+    leaks = leakage.find_passages(docs, items, "doc_id", "text", "item_id", "text")
     left = {r["doc_id"]: r["text"] for r in leakage.without_leaks(docs, leaks, "doc_id", "text").collect()}
     assert len(left) == len(DOCS) and left[1].split() == (FILL + " " + FILL).split() and left[9] == FILL
     assert leakage.find_leaks(leakage.without_leaks(docs, leaks, "doc_id", "text"), items, "doc_id", "text", "item_id", "text").count() == 0
@@ -78,7 +78,7 @@ def test_short_altered_passages():
     items = leakage.Items([(1, " ".join(item_words))])
 
     def found(words):
-        return bool(items.found_in(" ".join(fill + words + fill), {}, leakage.SPAN, leakage.SHARE))
+        return bool(items.search([" ".join(fill + words + fill)]))
 
     cases = [[i in at for i in range(n)] for n, c in ((15, 2), (15, 3)) for at in combinations(range(n), c)]
     cases += [[i in at for i in range(n)] for n, c in ((18, 4), (20, 4)) for at in (set(rng.sample(range(n), c)) for _ in range(300))]
@@ -90,3 +90,40 @@ def test_short_altered_passages():
     assert not found(item_words[20:32]) and not found(["changed" if i % 5 in (1, 3) else w for i, w in enumerate(item_words[20:40])])
     dropped = item_words[20:23] + item_words[24:29] + ["more"] + item_words[29:31] + ["changed"] + item_words[32:36]
     assert found(dropped)
+
+
+def test_overlapping_spans(spark):
+    """Passages that overlap, touch or lie in one another are cut out as one; nothing else goes."""
+    text = "".join(chr(97 + i % 26) for i in range(100))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, None), (4, "")], "doc_id long, text string")
+    spans = spark.createDataFrame([(1, 30, 60), (1, 10, 50), (1, 20, 25), (1, 60, 62), (1, 90, 100)], "doc_id long, begins int, ends int")
+    left = {r["doc_id"]: r["text"] for r in leakage.without_leaks(docs, spans, "doc_id", "text").collect()}
+    assert left == {1: text[:10] + text[62:90], 2: text, 3: None, 4: ""}
+
+
+def test_every_copy_and_short_items(spark):
+    """A text may hold an item several times; items of a few words count where they are held whole."""
+    short = [(21, "kumquat"), (22, "velvet anvil"), (23, "seven grey herons"), (24, "all maps lie here"), (25, "never trust a quiet harbour"), (26, "one two three four five six seven eight nine ten")]
+    items = spark.createDataFrame(ITEMS[:3] + short, "item_id long, text string")
+    texts = [
+        (1, f"{TEXT[1]} {FILL} {TEXT[1]}"), (2, f"{TEXT[1]} {TEXT[1]} {TEXT[1]}"), (3, "A KUMQUAT, and a velvet-anvil!"), (4, "Seven grey herons; all maps lie, here"), (5, "velvet red anvil, seven herons, all maps lie"),
+        (6, "x never trust the quiet harbour y never trust a quiet harbour"), (7, "one two three four FIVE six sevn eight nine ten; one two three four five"), (8, f"{TEXT[1]} {TEXT[2]} {FILL} {changed(TEXT[1], 0.15, 2)}"),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = leakage.find_passages(docs, items, "doc_id", "text", "item_id", "text").collect()
+    count = {}
+    for r in rows:
+        count[r["doc_id"], r["item_id"]] = count.get((r["doc_id"], r["item_id"]), 0) + 1
+    assert count == {(1, 1): 2, (2, 1): 3, (3, 21): 1, (3, 22): 1, (4, 23): 1, (4, 24): 1, (6, 25): 2, (7, 26): 1, (8, 1): 2, (8, 2): 1}
+    cleaned = leakage.without_leaks(docs, spark.createDataFrame(rows), "doc_id", "text")
+    assert leakage.find_passages(cleaned, items, "doc_id", "text", "item_id", "text").count() == 0
+    assert {r["doc_id"]: r["text"].split() for r in cleaned.collect()}[1] == FILL.split()
+
+
+def test_pattern_of_another_item():
+    """Where a text holds one item, another one made after the same pattern is not leaked; an equal part of both is."""
+    pattern = "why did the {} miller of {} trade exactly {} grams of {} salt for the {} bell before {} came home again"
+    one = pattern.format("old", "Vorn", 31, "grey", "small", 1911)
+    two = pattern.format("young", "Kelt", 87, "red", "large", 1955)
+    items = leakage.Items([(1, one), (2, two), (3, f"{one} and then he left the town for ever")])
+    assert {items.keys[r[1]] for r in items.search([f"{FILL} {one} {FILL}"])} == {1, 3}
