@@ -3,13 +3,15 @@
 The trie holds every canonical entry and, as alias paths, the labels that lead to one (through any chain of rules). A value
 is rewritten by a few rules on notation (quotes, list marks, bracketed notes, inversions, plurals); every rewriting is run
 through the trie together with an automaton that accepts strings within a distance that depends on the value's length, with
-adjacent transpositions as one edit. All entries within the distance are returned; the nearest one is the match.
+adjacent transpositions as one edit. All entries within the distance are returned; the nearest one is the match. The distance
+is 0 for texts of less than 5 characters, 1 for less than 11, else 2.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -21,8 +23,10 @@ from termweave.functions.normal import normal_form
 #: Reference entries and labels searched by one trie; a longer list is searched block by block.
 BLOCK = 50_000
 
-#: Words that say only that a text is about the term. Fixed values.
+#: Words of keywords at large that say only that a text is about the term, and head nouns that add nothing to a term
+#: ("use of X systems"). Fixed values; parameters of map_values.
 ABOUT = ("study", "studies", "survey", "case", "review", "case study", "overview", "a review", "a survey")
+LIGHT = ("schemes", "systems", "projects", "programmes", "programs", "measures", "technologies", "applications")
 
 
 def allowed_distance(length: int) -> int:
@@ -33,35 +37,14 @@ def allowed_distance(length: int) -> int:
 class Trie:
     """Reference strings with their canonical entries; '' stands for a deleted term."""
 
-    def __init__(self, paths: Iterable[tuple[str, str]], words: bool = True):
+    def __init__(self, paths: Iterable[tuple[str, str]]):
         self.root: dict = {}
-        paths = sorted(set(paths))
-        self.words = Trie({(w, "") for text, _ in paths for w in text.split(" ")}, False) if words else None
-        self.seen: dict[str, bool] = {}
-        for text, entry in paths:
+        for text, entry in sorted(set(paths)):
             node = self.root
             for ch in text:
                 node = node.setdefault(ch, {})
             node.setdefault(None, []).append((text, entry))
 
-    def hopeless(self, text: str) -> bool:
-        """Whether within() need not be asked: of several words, none is like a word of any path.
-
-        Two edits cannot change every word of a path beyond two edits, also where one of them joins or parts words.
-        """
-        words = text.split(" ")
-        if len(words) < 2:
-            return False
-        for word in words:
-            near = self.seen.get(word)
-            if near is None:
-                if len(self.seen) > 200_000:
-                    self.seen.clear()
-                near = self.seen[word] = bool(self.words.within(word, min(2, len(word) - 1)))
-            if near:
-                return False
-        return True
-
     def exact(self, text: str) -> list[tuple[str, str]]:
         node = self.root
         for ch in text:
@@ -148,7 +131,7 @@ _LINKED = re.compile(r"^(.+?) (?:of|in|for|on|at) (?:the )?(.+)$")
 _PLAIN_DASH = re.compile(r"\s+[-–—]\s+")
 
 
-def rewritings(value: str) -> list[str]:
+def rewritings(value: str, about: tuple[str, ...] = ABOUT, light: tuple[str, ...] = LIGHT) -> list[str]:
     """Normalised readings of a typed value, the most literal first."""
     text = unicodedata.normalize("NFKC", value).strip(_OUTER).lower()
     out: dict[str, None] = {}
@@ -164,7 +147,7 @@ def rewritings(value: str) -> list[str]:
         if m and m[1]:
             inner = m[2].strip()
             initials = "".join(w[0] for w in re.split(r"[\s\-]+", m[1]) if w)
-            if inner in ABOUT or inner.replace(".", "") == initials:
+            if inner in about or inner.replace(".", "") == initials:
                 yield from bare(m[1])
             else:
                 yield from bare(f"{m[1]} {inner}")
@@ -172,9 +155,9 @@ def rewritings(value: str) -> list[str]:
         if m and x[: m.start()]:
             yield from bare(x[: m.start()])
         head, sep, tail = x.rpartition(":")
-        if sep and normal_form(tail) in ABOUT:
+        if sep and normal_form(tail) in about:
             yield from bare(head)
-        for word in ABOUT:
+        for word in about:
             if x.endswith(" " + word):
                 yield from bare(x[: -len(word) - 1])
             if x.startswith(word + " of "):
@@ -189,10 +172,9 @@ def rewritings(value: str) -> list[str]:
             add(f"{m[2]} {m[1]}")
         m = _LINKED.match(_PLAIN_DASH.sub(" ", x))
         if m:
-            head = m[2].strip(_OUTER)
-            if head.endswith(" schemes"):
-                head = head[: -len(" schemes")]
-            words = head.split(" ")
+            words = m[2].strip(_OUTER).split(" ")
+            if len(words) > 1 and words[-1] in light:
+                words = words[:-1]
             add(" ".join([*words[:-1], singular(words[-1])]) + " " + m[1])
     for x in list(out):
         words = x.split(" ")
@@ -228,31 +210,52 @@ def _same_words(a: str, b: str) -> bool:
     return all(p == q or _edits(p, q) <= allowed(p, q) for p, q in zip(x, y))
 
 
-def match(trie: Trie, value: str) -> tuple[int, str] | None:
-    """(distance, entry) of the nearest reference entry, None if there is none or several are equally near."""
-    forms = rewritings(value)
-    for form in forms:
-        hits = {entry for _, entry in trie.exact(form)}
-        if len(hits) == 1:
-            return 0, hits.pop()
-    for form in forms:
-        if "." in value:
-            hits = trie.abbreviated(normal_form(unicodedata.normalize("NFKC", value).strip(_OUTER.replace(".", "")).lower()))
-            if len(hits) == 1:
-                return 1, hits.pop()
-            break
-    best: dict[str, int] = {}
+#: How a reference path was met: as a reading itself, by abbreviated words, within the distance.
+SAME, ABBREVIATED, NEAR = 0, 1, 2
+
+
+def candidates(trie: Trie, value: str, about: tuple[str, ...] = ABOUT, light: tuple[str, ...] = LIGHT, every: bool = True) -> list[tuple[int, int, str, str]]:
+    """(how, rank, path, entry) of the reference paths met by the readings of a value.
+
+    rank is the reading's place for paths that are a reading themselves, else the distance. Without `every` the automaton is
+    not asked for values that a reading settles, whose nearest entry is then known.
+    """
+    forms = rewritings(value, about, light)
+    found = [(SAME, i, *hit) for i, form in enumerate(forms) for hit in trie.exact(form)]
+    if not every and nearest(found):
+        return found
+    if "." in value:
+        short = normal_form(unicodedata.normalize("NFKC", value).strip(_OUTER.replace(".", "")).lower())
+        found += [(ABBREVIATED, 1, short, entry) for entry in trie.abbreviated(short)]
+        if not every and nearest(found):
+            return found
+    near: dict[tuple[str, str], int] = {}
     for form in forms:
-        if trie.hopeless(form):
-            continue
         for distance, text, entry in trie.within(form, allowed_distance(len(form))):
-            if distance < best.get(entry, 99) and _same_words(form, text):
-                best[entry] = distance
-    if not best:
-        return None
-    low = min(best.values())
-    near = [entry for entry, d in best.items() if d == low]
-    return (low, near[0]) if len(near) == 1 else None
+            if distance < near.get((text, entry), 9) and (distance == 0 or _same_words(form, text)):
+                near[text, entry] = distance
+    return found + [(NEAR, d, text, entry) for (text, entry), d in near.items()]
+
+
+def nearest(found: Iterable[tuple[int, int, str, str]]) -> tuple[int, str] | None:
+    """(distance, entry) of what the candidates mean, None if nothing or if several are equally near.
+
+    The most literal reading that is a path of one entry; else the one entry that abbreviated words lead to; else the nearest.
+    """
+    levels: dict[tuple[int, int], set[str]] = {}
+    for how, rank, _, entry in found:
+        levels.setdefault((how, rank), set()).add(entry)
+    for (how, rank), entries in sorted(levels.items()):
+        if len(entries) == 1:
+            return 0 if how == SAME else rank, min(entries)
+        if how == NEAR:
+            return None
+    return None
+
+
+def match(trie: Trie, value: str) -> tuple[int, str] | None:
+    """(distance, entry) of the nearest reference entry, None if there is none or several are equally near."""
+    return nearest(candidates(trie, value, every=False))
 
 
 def reference_paths(rules: Iterable[tuple[str | None, str | None]]) -> tuple[list[tuple[str, str]], set[str]]:
@@ -291,29 +294,76 @@ def reference_paths(rules: Iterable[tuple[str | None, str | None]]) -> tuple[lis
     return sorted((t, e) for t, e in paths if t and not (t in own and normal_form(e) != t)), canonical
 
 
-def map_values(values: DataFrame, rules: DataFrame, label: str = "label", target: str = "replace_by", order: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+def _parts(rules: DataFrame, label: str, target: str, order: tuple[str, ...], block: int) -> tuple[list[list[tuple[str, str]]], set[str]]:
+    """The reference paths in blocks, and the canonical entries; the list is read on the driver."""
+    rows = rules.orderBy(*order).select(label, target) if order else rules.select(label, target)
+    paths, canonical = reference_paths((r[0], r[1]) for r in rows.toLocalIterator())
+    return [paths[i : i + block] for i in range(0, len(paths), block)] or [[]], canonical
+
+
+_tries: dict[str, Trie] = {}
+
+
+def _trie_of(name: str, paths: list[tuple[str, str]]) -> Trie:
+    """The trie of a broadcast, built once per worker."""
+    if name not in _tries:
+        _tries.clear()
+        _tries[name] = Trie(paths)
+    return _tries[name]
+
+
+def _candidate_rows(values: DataFrame, parts: list, about: tuple[str, ...], light: tuple[str, ...]) -> DataFrame:
+    """(value, how, rank, path, entry): every candidate of each non-null value, over all blocks."""
+    spark, out = values.sparkSession, None
+    schema = pa.schema([("value", pa.string()), ("how", pa.int32()), ("rank", pa.int32()), ("path", pa.string()), ("entry", pa.string())])
+
+    def searcher(part):
+        shared, name = spark.sparkContext.broadcast(part), uuid.uuid4().hex
+
+        def search(batches):
+            trie = _trie_of(name, shared.value)
+            for batch in batches:
+                rows = [(x, *hit) for x in batch.column(0).to_pylist() if x is not None for hit in candidates(trie, x, about, light)]
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 5, schema)], schema=schema)
+
+        return values.select("value").mapInArrow(search, "value string, how int, rank int, path string, entry string")
+
+    for part in parts:
+        out = searcher(part) if out is None else out.unionByName(searcher(part))
+    return out
+
+
+def map_candidates(values: DataFrame, rules: DataFrame, label: str = "label", target: str = "replace_by", order: tuple[str, ...] = (), block: int = BLOCK, about: tuple[str, ...] = ABOUT, light: tuple[str, ...] = LIGHT) -> DataFrame:
+    """(value, entry, path, distance): all entries within the distance of a reading of each distinct value, with the path met.
+
+    entry is '' where the path is that of a deleted term. Values without any, and null ones, have no rows. distance is null
+    where abbreviated words led to the entry.
+    """
+    rows = _candidate_rows(values.select("value").distinct(), _parts(rules, label, target, order, block)[0], about, light)
+    distance = F.when(F.col("how") == SAME, 0).when(F.col("how") == NEAR, F.col("rank"))
+    return rows.groupBy("value", "entry", "path").agg(F.min(distance).alias("distance"))
+
+
+def map_values(values: DataFrame, rules: DataFrame, label: str = "label", target: str = "replace_by", order: tuple[str, ...] = (), block: int = BLOCK, about: tuple[str, ...] = ABOUT, light: tuple[str, ...] = LIGHT) -> DataFrame:
     """(value, entry, distance, is_canonical): one row per row of values, a table of one string column 'value'.
 
     entry is the canonical entry meant, '' where there is none or the value means a deleted term; is_canonical tells whether
     the value is character for character a canonical entry. Null values come out with an empty entry. The reference list is
-    read on the driver; it is searched in blocks of `block` paths, each broadcast by itself, and the nearest entry over all
-    blocks wins, equally near different ones give none.
+    read on the driver; it is searched in blocks of `block` paths, each broadcast by itself. Over several blocks the
+    candidates of all are brought together before one is chosen, so that the result does not depend on the blocks.
     """
-    rows = rules.orderBy(*order).select(label, target) if order else rules.select(label, target)
-    paths, canonical = reference_paths((r[0], r[1]) for r in rows.toLocalIterator())
-    parts = [paths[i : i + block] for i in range(0, len(paths), block)] or [[]]
+    parts, canonical = _parts(rules, label, target, order, block)
     schema = "value string, entry string, distance int, is_canonical boolean"
     spark = values.sparkSession
-
-    def searcher(part):
-        shared = spark.sparkContext.broadcast((part, canonical))
+    if len(parts) == 1:
+        shared, name = spark.sparkContext.broadcast((parts[0], canonical)), uuid.uuid4().hex
 
         def search(batches):
             some, known = shared.value
-            trie = Trie(some)
+            trie = _trie_of(name, some)
             for batch in batches:
                 texts = batch.column(0).to_pylist()
-                hits = [(match(trie, x) if x is not None and x not in known else None) for x in texts]
+                hits = [(nearest(candidates(trie, x, about, light, False)) if x is not None and x not in known else None) for x in texts]
                 yield pa.record_batch(
                     {
                         "value": batch.column(0).cast(pa.string()),
@@ -325,12 +375,14 @@ def map_values(values: DataFrame, rules: DataFrame, label: str = "label", target
 
         return values.select("value").mapInArrow(search, schema)
 
-    found = [searcher(part) for part in parts]
-    if len(found) == 1:
-        return found[0]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    low = every.groupBy(F.col("value").alias("low_value")).agg(F.min("distance").alias("low"))
-    near = every.join(low, F.col("value").eqNullSafe(F.col("low_value")) & F.col("distance").eqNullSafe(F.col("low")))
-    return near.groupBy("value").agg(F.when(F.count_distinct("entry") == 1, F.min("entry")).otherwise("").alias("entry"), F.min("distance").alias("distance"), F.max("is_canonical").alias("is_canonical"))
+    @F.arrow_udf("struct<entry: string, distance: int>")
+    def choose(found: pa.Array) -> pa.Array:
+        hits = [nearest([(r["how"], r["rank"], r["path"], r["entry"]) for r in rows or ()]) for rows in found.to_pylist()]
+        return pa.array([{"entry": h[1] if h else "", "distance": h[0] if h else None} for h in hits], pa.struct([("entry", pa.string()), ("distance", pa.int32())]))
+
+    rows = _candidate_rows(values.select("value").distinct(), parts, about, light)
+    chosen = rows.groupBy("value").agg(F.collect_list(F.struct("how", "rank", "path", "entry")).alias("found")).select("value", choose("found").alias("_c")).select("value", "_c.*")
+    known = spark.createDataFrame([(c,) for c in sorted(canonical)], "value string").withColumn("is_canonical", F.lit(True))
+    joined = values.select("value").join(chosen, "value", "left").join(known, "value", "left")
+    same = F.coalesce("is_canonical", F.lit(False))
+    return joined.select("value", F.when(same, F.col("value")).otherwise(F.coalesce("entry", F.lit(""))).alias("entry"), F.when(same, 0).otherwise(F.col("distance")).alias("distance"), same.alias("is_canonical"))

@@ -96,6 +96,12 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.filter("NOT is_canonical").select("record_id", "pos", F.col("entry").alias("replace_by"))
 
 
+def p6_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """All canonical entries within the distance of each spelling in records.keywords, with the path that was met."""
+    values = table(spark, folder, "records").select(F.explode("keywords").alias("value")).distinct()
+    return mapping.map_candidates(values.repartition(4 * spark.sparkContext.defaultParallelism, "value"), table(spark, folder, "thesaurus"), order=("added_at", "rule_id"))
+
+
 def _p7_sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     records = _records(spark, folder, "title", "authors", "pub_year", "doi")
     entries = latest(table(spark, folder, "catalog_entries").select("cat_id", "updated_at", "title", "authors", "pub_year", "doi"), ["cat_id"], ["updated_at"])
@@ -155,7 +161,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "seg", "lang")
 
 
-QUERIES = {"p1_found": p1_found, "p1_frequency": p1_frequency, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found,
+QUERIES = {"p1_found": p1_found, "p1_frequency": p1_frequency, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p6_candidates": p6_candidates,
            "p7_found": p7_found, "p7_matches": p7_matches, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_cleaned": p8_cleaned, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_languages": p10_languages}
 
 #: The normal form in DuckDB: NFC and the full-width forms, which together stand for NFKC on the terms of the test tables.

@@ -77,3 +77,25 @@ def test_typos_are_recovered():
         typo = rng.choice([e[:i] + e[i + 1 :], e[:i] + e[i] + e[i:], e[:i] + "x" + e[i + 1 :]])
         right += (mapping.match(trie, typo) or (0, ""))[1] == e
     assert right >= 290
+
+
+def test_joined_and_parted_words():
+    """One edit that joins or parts words changes every word; the entry is found all the same."""
+    trie = mapping.Trie([(e, e) for e in ("microgrid", "daylighting", "rainwater", "rain barrel", "roof top garden")])
+    for value, entry in (("micro-grid", "microgrid"), ("day lighting", "daylighting"), ("rain water", "rainwater"), ("rainbarrel", "rain barrel"), ("rooftop garden", "roof top garden")):
+        assert mapping.match(trie, value) == (1, entry) or mapping.match(trie, value) == (0, entry)
+
+
+def test_blocks_change_nothing(spark):
+    """Ties, nearer entries and repeated values come out the same however many blocks the list is searched in."""
+    names = ["harbour pilot", "harbour pilots", "harbor pilot", "garbour pilot", "lantern keeping", "lantern keeper", "cask", "cast", "old mill"]
+    rules = spark.createDataFrame([(n, n) for n in names] + [("old mil", None)], "label string, replace_by string")
+    values = spark.createDataFrame([(v,) for v in ("harbour pilot", "arbour pilot", "lantern keepin", "lantern keepng", "lantern keepe", "casr", "cask", "cask", "old mil", "Old Mill", "", None)], "value string")
+    want = None
+    for block in (50_000, 4, 1):
+        got = sorted(map(tuple, mapping.map_values(values, rules, block=block).collect()), key=repr)
+        assert len(got) == 12 and (want is None or got == want)
+        want = got
+    rows = {(r["value"], r["entry"], r["distance"]) for r in mapping.map_candidates(values, rules, block=3).collect()}
+    assert {("arbour pilot", "harbour pilot", 1), ("arbour pilot", "garbour pilot", 1), ("arbour pilot", "harbor pilot", 2), ("arbour pilot", "harbour pilots", 2)} <= rows
+    assert not [r for r in rows if r[0] in ("casr", "", None)]
