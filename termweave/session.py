@@ -45,17 +45,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is not in use; release() deletes what is written there."""
+    path = f"{shared_folder(spark)}/termweave/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df as a table in the shared folder and read it back: later jobs start there, also after the loss of an executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/termweave/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the tables that cut() wrote in this session. Results that still read them must have been written before."""
+    """Delete what this session wrote in the shared folder. Results that still read it must have been written before."""
     for path in _written.pop(spark.sparkContext.applicationId, []):
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
