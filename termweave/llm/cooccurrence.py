@@ -6,7 +6,7 @@ summed. Items that cannot reach the wanted support are taken out of the baskets
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termweave.session import broadcast_if_small, cut
@@ -41,6 +41,18 @@ def pair_counts(weighted: DataFrame) -> DataFrame:
     return rest.groupBy("item_a", "item_b").agg(F.sum("weight").alias("n_ab"))
 
 
+def at_least(times: int) -> Column:
+    """Whether n_ab * n >= times * n_a * n_b, exact for counts beyond 10^10, whose products no bigint holds."""
+    whole = {c: F.col(c).cast("decimal(19,0)") for c in ("n_ab", "n", "n_a", "n_b")}
+    return whole["n_ab"] * whole["n"] >= F.lit(times).cast("decimal(10,0)") * (whole["n_a"] * whole["n_b"]).cast("decimal(28,0)")
+
+
+def measures() -> tuple[Column, Column]:
+    """Lift, and conviction of a for b, null where a never occurs without b; in doubles, as products may pass a bigint."""
+    lift = F.col("n_ab").cast("double") * F.col("n") / (F.col("n_a").cast("double") * F.col("n_b"))
+    return lift, F.when(F.col("n_a") > F.col("n_ab"), (1 - F.col("n_b") / F.col("n")) / (1 - F.col("n_ab") / F.col("n_a")))
+
+
 def scored_pairs(df: DataFrame, key: str, items: str, min_count: int = 1, min_share: float = 0.0) -> DataFrame:
     """(item_a, item_b, n_ab, n_a, n_b, n, lift, conviction_ab) of all pairs with n_ab >= min_count and n_ab >= min_share * n.
 
@@ -57,6 +69,5 @@ def scored_pairs(df: DataFrame, key: str, items: str, min_count: int = 1, min_sh
     small = broadcast_if_small(frequent)
     a, b = small.select(F.col("item").alias("item_a"), F.col("n").alias("n_a")), small.select(F.col("item").alias("item_b"), F.col("n").alias("n_b"))
     out = pairs.join(a, "item_a").join(b, "item_b").withColumn("n", F.lit(n).cast("long"))
-    lift = F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b"))
-    conviction = F.when(F.col("n_a") > F.col("n_ab"), (1 - F.col("n_b") / F.col("n")) / (1 - F.col("n_ab") / F.col("n_a")))
+    lift, conviction = measures()
     return out.select("item_a", "item_b", "n_ab", "n_a", "n_b", "n", lift.alias("lift"), conviction.alias("conviction_ab"))

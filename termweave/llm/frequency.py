@@ -1,23 +1,26 @@
 """Frequency of every distinct value: recursive radix spilling with DuckDB as the aggregator.
 
 Entries are combined on the map side first, so that a term holding a third of all rows reaches the exchange once per input
-partition. The partial counts are written to the shared folder, split by the leading bits of the term's hash. Partitions
-with more rows than fit an out-of-core aggregation are split by further bits, again and again, until each fits or holds one
-hash only. Then DuckDB aggregates every partition by itself.
+partition. The partial counts are written to the shared folder, one folder per value of the leading bits of the term's hash.
+Folders with more rows than one aggregation takes, and only those, are read again and written by more bits, until each fits.
+Then DuckDB aggregates the files of every folder by itself, streaming them and spilling to the shared folder.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.session import cut
+from termweave.session import new_path
 
-#: Leading hash bits of a first split; rows of partial counts that one aggregation takes; bits of each further split.
-RADIX_BITS, BUCKET_ROWS, MORE_BITS = 6, 1_000_000, 3
+#: Rows of partial counts that one aggregation takes; bits of each further split; bits of a first and of a last split at most.
+BUCKET_ROWS, MORE_BITS, FIRST_BITS, LAST_BITS = 1_000_000, 3, 14, 60
+#: Memory of one aggregation, beyond which DuckDB spills.
+MEMORY = "512MB"
 
 _COUNTS = pa.schema([("term", pa.string()), ("occurrences", pa.int64()), ("units", pa.int64())])
 
@@ -25,44 +28,75 @@ _COUNTS = pa.schema([("term", pa.string()), ("occurrences", pa.int64()), ("units
 def record_counts(df: DataFrame, unit: str, terms: str) -> DataFrame:
     """(term, occurrences, units): of each term of an array column its entries and, as each row is one unit, its units per row.
 
-    Null terms and terms that are empty are no terms. One row per (row, term); combined per partition by count_terms.
+    Null terms and terms that are empty are no terms. One row per entry, a row's first entry of a term with units 1, the
+    others with 0; combined per partition by count_terms.
     """
-    items = F.filter(F.col(terms), lambda t: t.isNotNull() & (t != ""))
+    items = F.sort_array(F.filter(F.col(terms), lambda t: t.isNotNull() & (t != "")))
     one = df.select(items.alias("_items")).select(
-        F.explode(F.transform(F.array_distinct("_items"), lambda t: F.struct(t.alias("term"), F.size(F.filter("_items", lambda x: x == t)).cast("long").alias("occurrences")))).alias("_x")
+        F.explode(F.transform("_items", lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (F.get("_items", i - 1) == t), 0).otherwise(1).cast("long").alias("units")))).alias("_x")
     )
-    return one.select("_x.term", "_x.occurrences", F.lit(1).cast("long").alias("units"))
+    return one.select("_x.term", F.lit(1).cast("long").alias("occurrences"), "_x.units")
 
 
-def _aggregate(bucket: pa.Table) -> pa.Table:
-    import duckdb
+def first_bits(spark: SparkSession) -> int:
+    """Hash bits of a first split: four folders or more for each core."""
+    return min(FIRST_BITS, math.ceil(math.log2(4 * max(1, spark.sparkContext.defaultParallelism))))
 
-    with duckdb.connect(config={"threads": 1, "memory_limit": "512MB"}) as con:
-        con.register("bucket", bucket)
-        return con.sql("SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(units)::BIGINT AS units FROM bucket GROUP BY term").to_arrow_table().cast(_COUNTS)
 
+def _spill(partial: DataFrame, bits: int) -> str:
+    """Write partial counts by the leading bits of the hash, in folders bucket=N; those that meet in a task are combined."""
+    digest = F.xxhash64("term")
+    path = new_path(partial.sparkSession, f"radix{bits}")
+    # Two more bits part a bucket among tasks, each of which writes one file of it.
+    parted = partial.repartition(F.shiftrightunsigned(digest, 62 - bits))
+    _combined(parted).withColumn("bucket", F.shiftrightunsigned(F.xxhash64("term"), 64 - bits)).write.partitionBy("bucket").parquet(path)
+    return path
+
+
+def _aggregated(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """(term, occurrences, units): DuckDB sums each folder of partial counts by itself."""
+    if not folders:
+        return spark.createDataFrame([], "term string, occurrences long, units long")
+    shared = new_path(spark, "spill").removeprefix("file://")
+
+    def work(batches):
+        import duckdb
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        for batch in batches:
+            for n in batch.column(0).to_pylist():
+                store, path = fs.FileSystem.from_uri(folders[n]) if "://" in folders[n] else (fs.LocalFileSystem(), folders[n])
+                files = [f.path for f in store.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
+                # DuckDB spills to a mounted folder only; in another store the number of rows bounds what it holds.
+                spill = f"{shared}/{uuid.uuid4().hex}" if "://" not in shared else ""
+                with duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": spill}) as con:
+                    con.register("counts", ds.dataset(files, schema=_COUNTS, filesystem=store, format="parquet"))
+                    for out in con.sql("SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(units)::BIGINT AS units FROM counts GROUP BY term").to_arrow_reader(100_000):
+                        yield from pa.Table.from_batches([out]).cast(_COUNTS).to_batches()
+
+    tasks = min(len(folders), 4 * spark.sparkContext.defaultParallelism)
+    return spark.range(0, len(folders), 1, tasks).mapInArrow(work, "term string, occurrences long, units long")
 
-def count_terms(entries: DataFrame, radix_bits: int = RADIX_BITS, bucket_rows: int = BUCKET_ROWS, more_bits: int = MORE_BITS) -> DataFrame:
+
+def count_terms(entries: DataFrame, radix_bits: int | None = None, bucket_rows: int = BUCKET_ROWS, more_bits: int = MORE_BITS) -> DataFrame:
     """(term, occurrences, units) summed over entries of the same columns. Null terms are left out; no rows give none.
 
-    The buckets' sizes are the only thing sent to the driver: at most 2^radix_bits rows at first, and for each oversized
-    bucket 2^more_bits more, so their number is bounded by the rows divided by bucket_rows.
+    The folders' sizes are the only thing sent to the driver: at most 2^bits of a first split, then 2^more_bits for each
+    oversized folder, so their number is bounded by the cores and by the rows divided by bucket_rows.
     """
-    partial = _combined(entries.filter(F.col("term").isNotNull()))
-    spread = partial.withColumn("bucket", F.shiftrightunsigned(F.xxhash64("term"), 64 - radix_bits).cast("long")).withColumn("bits", F.lit(radix_bits))
-    written = cut(spread, "radix")
-    deep = {}
-    level = written
+    spark = entries.sparkSession
+    bits = radix_bits or first_bits(spark)
+    path, ready = _spill(_combined(entries.filter(F.col("term").isNotNull())), bits), []
     while True:
-        sizes = level.groupBy("bits", "bucket").count().filter(F.col("count") > bucket_rows).collect()
-        split = [(r["bits"], r["bucket"]) for r in sizes if r["bits"] + more_bits <= 60]
-        if not split:
-            break
-        for key in split:
-            deep[key] = True
-        level = _resplit(written, deep, more_bits)
-    buckets = level
-    return buckets.select("bits", "bucket", "term", "occurrences", "units").groupBy("bits", "bucket").applyInArrow(_aggregate, "term string, occurrences long, units long")
+        level = spark.read.schema("term string, occurrences long, units long, bucket long").parquet(path)
+        sizes = {r["bucket"]: r["count"] for r in level.groupBy("bucket").count().toLocalIterator()}
+        over = [b for b, n in sizes.items() if n > bucket_rows and bits + more_bits <= LAST_BITS]
+        ready += [f"{path}/bucket={b}" for b in sizes if b not in set(over)]
+        if not over:
+            return _aggregated(spark, ready)
+        bits += more_bits
+        path = _spill(level.filter(F.col("bucket").isin(over)).drop("bucket"), bits)
 
 
 def _combined(entries: DataFrame) -> DataFrame:
@@ -92,23 +126,6 @@ def _combined(entries: DataFrame) -> DataFrame:
     return entries.select("term", "occurrences", "units").mapInArrow(combine, "term string, occurrences long, units long")
 
 
-def _resplit(written: DataFrame, deep: dict, more_bits: int) -> DataFrame:
-    """Buckets in deep are split by more_bits more bits of the hash, as often as they are listed."""
-    digest = F.xxhash64("term")
-    rows = written
-    for depth in sorted({bits for bits, _ in deep}):
-        listed = [bucket for bits, bucket in deep if bits == depth]
-        over = (F.col("bits") == depth) & F.col("bucket").isin(listed)
-        finer = F.shiftrightunsigned(digest, 64 - depth - more_bits).cast("long")
-        rows = rows.withColumn("_over", over).withColumn("bucket", F.when(F.col("_over"), finer).otherwise(F.col("bucket"))).withColumn("bits", F.when(F.col("_over"), F.lit(depth + more_bits)).otherwise(F.col("bits"))).drop("_over")
-    return rows
-
-
 def marks(counts: DataFrame, rare_up_to: int, common: "F.Column") -> DataFrame:
     """Adds mark: 'rare' up to so many occurrences, else 'common' where the condition on units holds, else null."""
     return counts.withColumn("mark", F.when(F.col("occurrences") <= rare_up_to, "rare").when(common, "common"))
-
-
-def bits_for(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
-    """Hash bits of a first split whose buckets hold about half of bucket_rows."""
-    return max(3, min(12, math.ceil(math.log2(max(1, 2 * rows / bucket_rows)))))

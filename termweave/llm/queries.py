@@ -62,7 +62,7 @@ def p3_pairs(spark: SparkSession, folder: str) -> DataFrame:
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs that occur together at least 20 times as often as by chance."""
     p = _p3_pairs(spark, folder)
-    kept = p.filter((F.col("n_ab") >= 5) & (F.col("n_ab") * 5000 >= F.col("n")) & (F.col("n_ab") * F.col("n") >= 20 * F.col("n_a") * F.col("n_b")))
+    kept = p.filter((F.col("n_ab") >= 5) & (F.col("n_ab") * 5000 >= F.col("n")) & cooccurrence.at_least(20))
     return kept.select(F.col("item_a").alias("term_a"), F.col("item_b").alias("term_b"))
 
 

@@ -35,6 +35,23 @@ def test_counts(spark, radix_bits, bucket_rows, more_bits):
     assert {r["term"]: (r["occurrences"], r["units"]) for r in got.collect()} == brute(data)
 
 
+def test_radix_on_disk(spark):
+    """Counts lie in folders by leading hash bits; only oversized folders are written again, by more bits."""
+    import os
+
+    from termweave import session
+
+    entries = spark.createDataFrame([(f"t{i}", 1, 1) for i in range(3000)] + [("hot", 2, 1)] * 3000, "term string, occurrences long, units long").repartition(7)
+    before = len(session._written.get(spark.sparkContext.applicationId, []))
+    got = {r["term"]: (r["occurrences"], r["units"]) for r in frequency.count_terms(entries, 2, 500, 2).collect()}
+    assert got == {f"t{i}": (1, 1) for i in range(3000)} | {"hot": (6000, 3000)}
+    levels = [p.removeprefix("file://") for p in session._written[spark.sparkContext.applicationId][before:] if "/radix" in p]
+    assert [p.rsplit("/", 1)[1].split("-")[0] for p in levels] == ["radix2", "radix4"]
+    assert sorted(d for d in os.listdir(levels[0]) if d.startswith("bucket=")) == [f"bucket={i}" for i in range(4)]
+    some = entries.filter(F.shiftrightunsigned(F.xxhash64("term"), 62) == 1).select("term").distinct()
+    assert {r["term"] for r in spark.read.parquet(f"{levels[0]}/bucket=1").select("term").distinct().collect()} == {r["term"] for r in some.collect()}
+
+
 def test_empty_and_marks(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert frequency.count_terms(frequency.record_counts(none, "unit", "terms")).count() == 0
@@ -67,3 +84,14 @@ def test_pairs_share_and_empty(spark):
 def test_long_basket(spark):
     df = spark.createDataFrame([(1, [f"t{i}" for i in range(300)]), (2, [f"t{i}" for i in range(300)])], "k long, items array<string>")
     assert cooccurrence.scored_pairs(df, "k", "items", 2).count() == 300 * 299 // 2
+
+
+def test_counts_beyond_bigint_products(spark):
+    """Counts near 10^10, whose products are beyond bigint."""
+    big = 40_000_000_000
+    df = spark.createDataFrame([("a", "b", 9_000_000_000, 13_000_000_000, 11_000_000_000, big), ("a", "c", 10**10, 10**9, 2 * 10**10, big), ("a", "d", 10**10, 10**9, 2 * 10**10 + 1, big)], "item_a string, item_b string, n_ab long, n_a long, n_b long, n long")
+    got = {r["item_b"]: (r["yes"], r["more"]) for r in df.select("item_b", cooccurrence.at_least(20).alias("yes"), cooccurrence.at_least(2).alias("more")).collect()}
+    assert got == {"b": (False, True), "c": (True, True), "d": (False, True)}
+    lift, conviction = cooccurrence.measures()
+    row = df.filter("item_b = 'b'").select(lift.alias("lift"), conviction.alias("conviction")).first()
+    assert row["lift"] == pytest.approx(9e9 * big / (13e9 * 11e9)) and row["conviction"] == pytest.approx((1 - 11 / 40) / (1 - 9 / 13))
