@@ -146,7 +146,8 @@ def garbled_table(vocabulary: DataFrame) -> DataFrame:
     as_char marks units that are characters within words; of those only forms of UTF-8 read byte by byte tell anything.
     sure marks forms that prove damage whatever the counts, sound words that are no such forms.
     kind is 'east' for forms of few Chinese characters, which prove little alone, else 'west'. Forms equal to their word and
-    forms within ASCII are left out.
+    forms within ASCII are left out. Words of more than 60 characters and Chinese ones of more than two make no forms: their
+    characters and pairs do.
     """
     schema = "form string, word string, chain string, weight long, kind string, reads_back boolean, sure boolean, sound boolean"
 
@@ -206,9 +207,11 @@ def _restore(text: pa.Array, hits: pa.Array) -> pa.Array:
 
 
 def find_garbled(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, field, hits, text): one row per damaged value, wholly or in part, with the garbled forms found in it.
+    """(key, field, hits, lost): one row per damaged value, wholly or in part, with the garbled forms found in it.
 
-    df may hold a key several times with equal values; each damaged (key, field) comes out once. Null and empty values are
+    Forms count that read back to their word along their chain. A value with U+FFFD, which no encoding contains, is damaged
+    beyond reading back at that place: it comes out with lost true, its hits being all forms met, also those with U+FFFD. df
+    may hold a key several times with equal values; each damaged (key, field) comes out once. Null and empty values are
     sound. Vocabulary and weights are counted over all rows. An empty table gives no rows.
     """
     values = df.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("_v")).select(key, "_v.field", "_v.text")
@@ -220,13 +223,15 @@ def find_garbled(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     # Forms that occur, less often than the word they come from unless they are sure; of several words a sure
     # one, then the most usual one.
     met = table.join(vocabulary.filter("NOT as_char").select(F.col("unit").alias("form"), F.col("n").alias("met")), "form").filter((F.col("weight") >= F.col("met")) | F.col("sure"))
+    met = met.filter(F.col("reads_back") | F.col("form").contains(LOST))
     best = met.groupBy("form").agg(F.max_by(F.struct("word", "chain", "kind", "reads_back", "sound"), F.struct("sure", "weight", "word", "chain")).alias("_b")).select("form", "_b.*")
     known = broadcast_if_small(cut(best, "garbled"))
     seen = units.select(key, "field", F.explode("units").alias("form"))
     hits = seen.join(known, "form").groupBy(key, "field").agg(F.collect_list(F.struct("form", "word", "chain", "kind", "reads_back", "sound")).alias("hits"))
     lost = units.filter(F.exists("units", lambda u: u.contains(LOST))).select(key, "field").distinct().withColumn("lost", F.lit(True))
     # A short form in Chinese characters may be a chance; two in one value are not.
-    enough = hits.filter(F.exists("hits", lambda h: h["kind"] == "west") | (F.size(F.filter("hits", lambda h: h["kind"] == "east")) >= 2))
+    verified = lambda kind: F.size(F.filter("hits", lambda h: h["reads_back"] & (h["kind"] == kind)))
+    enough = hits.filter((verified("west") >= 1) | (verified("east") >= 2) | F.exists("hits", lambda h: h["form"].contains(LOST)))
     return enough.join(lost, [key, "field"], "full_outer").select(key, "field", F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)).alias("hits"), F.coalesce("lost", F.lit(False)).alias("lost")).dropDuplicates([key, "field"])
 
 
