@@ -4,7 +4,7 @@ One model per language is trained on labelled samples. The n-grams of all langua
 order, beside a matrix of log probabilities and back-off weights with one column per language; a batch of lines is scored by
 binary search on all its positions at once. A line takes the language of the lowest cross-entropy per character; a document
 is mixed where a line is explained clearly better by another language than by the document's. Confidence is the calibrated
-posterior; texts that no model explains are rejected.
+posterior; texts that no model explains are rejected. Temperature and rejection are calibrated on held-out samples.
 """
 
 from __future__ import annotations
@@ -22,8 +22,11 @@ from termweave.session import spread
 ORDER, MOST_SAMPLES = 5, 20_000
 #: A line differs from its document if another language explains it better by so many nats in all and per character.
 MARGIN, MARGIN_PER_CHAR = 16.0, 0.12
-#: Calibration: posteriors are of log likelihoods times this; rejected is what no model explains within so many nats per character.
-TEMPER, REJECT = 0.25, 6.5
+#: Calibration: parts of the samples that are held out in turn; words of the pieces whose posteriors are tempered; the share of
+#: unseen words of a language that its model must explain.
+FOLDS, PIECES, EXPLAINED = 5, (1, 2, 4, 8, 16), 0.99
+#: Code points at which scripts begin; neighbouring ranges of one kind are one script for our purpose. Fixed values.
+SCRIPTS = (0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0xE00, 0x1100, 0x1E00, 0x1F00, 0x2E80, 0x3040, 0x3100, 0xAC00, 0xD7B0, 0xF900, 0xFB00)
 
 #: Names and codes of the languages told apart. Fixed values.
 LABELS = {
@@ -55,6 +58,7 @@ def _letters() -> np.ndarray:
 
 
 _TABLE: np.ndarray | None = None
+_SCRIPT: np.ndarray | None = None
 
 
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +67,8 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if _TABLE is None:
         _TABLE = _letters()
     raw = np.frombuffer("\0".join(["", *texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    chars = _TABLE[np.minimum(raw, 65535)]
+    # Beyond the table lie rare Chinese characters, which are letters, and signs.
+    chars = np.where(raw < 65536, _TABLE[np.minimum(raw, 65535)], np.where((raw >= 0x20000) & (raw < 0x40000), raw, _SPACE)).astype(np.uint32)
     start = raw == 0
     keep = np.ones(len(chars), bool)
     keep[1:] = (chars[1:] != _SPACE) | (chars[:-1] != _SPACE) | start[1:]
@@ -104,25 +109,34 @@ class Model:
     logp: list[np.ndarray] = field(default_factory=list)
     back: list[np.ndarray] = field(default_factory=list)
     floor: np.ndarray | None = None
+    #: Per language the scripts of its samples, and the nats per character beyond which it explains nothing; the temperature.
+    scripts: np.ndarray | None = None
+    reject: np.ndarray | None = None
+    temper: float = 1.0
 
     def score(self, chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Log likelihood of each text under each language."""
-        total = np.empty((len(chars), len(self.languages)), np.float32)
-        found_before: np.ndarray | None = None
+        size = len(chars)
+        top, found = np.full(size, -1, np.int8), []
         for n, h in enumerate(hashes(chars, starts, len(self.keys))):
-            at = np.minimum(np.searchsorted(self.keys[n], h), len(self.keys[n]) - 1)
-            known = self.keys[n][at] == h
-            if n == 0:
-                total[:] = self.floor
-                total[known] = self.logp[0][at[known]]
-            else:
-                miss = ~known
-                context = np.full(len(chars), -1, np.int64)
-                context[1:] = found_before[:-1]
-                use = miss & (context >= 0)
-                total[use] += self.back[n - 1][context[use]]
-                total[known] = self.logp[n][at[known]]
-            found_before = np.where(known, at, -1)
+            # An n-gram is known only where its last n - 1 characters are.
+            where = np.flatnonzero(top == n - 1)
+            key = h[where]
+            at = np.minimum(np.searchsorted(self.keys[n], key), len(self.keys[n]) - 1)
+            hit = self.keys[n][at] == key
+            place = np.full(size, -1, np.int32)
+            place[where[hit]] = at[hit]
+            top[where[hit]] = n
+            found.append(place)
+        total = np.empty((size, len(self.languages)), np.float32)
+        total[top < 0] = self.floor
+        for n, place in enumerate(found):
+            here = np.flatnonzero(top == n)
+            total[here] = self.logp[n][place[here]]
+        for n in range(1, len(found)):
+            before = found[n - 1]
+            miss = np.flatnonzero((top[1:] < n) & (before[:-1] >= 0))
+            total[miss + 1] += self.back[n - 1][before[miss]]
         total[starts] = 0  # the space before a text is given
         return np.add.reduceat(total, starts, axis=0)
 
@@ -203,6 +217,83 @@ def train(samples: list[tuple[str, str]], order: int = ORDER) -> Model:
     return model
 
 
+def script_of(chars: np.ndarray) -> np.ndarray:
+    """Number of each character's script; extensions of Latin and Chinese count with their script, spaces are -1."""
+    global _SCRIPT
+    if _SCRIPT is None:
+        code, of = np.arange(65536), {x: i for i, x in enumerate(SCRIPTS)}
+        _SCRIPT = (np.searchsorted(np.array(SCRIPTS), code, "right") - 1).astype(np.int8)
+        _SCRIPT[np.isin(_SCRIPT, (of[0x1E00], of[0xFB00]))] = 0
+        _SCRIPT[np.isin(_SCRIPT, (of[0x3100], of[0xF900]))] = of[0x2E80]
+        _SCRIPT[[_SPACE, ord("'")]] = -1
+    return np.where(chars < 65536, _SCRIPT[np.minimum(chars, 65535)], SCRIPTS.index(0x2E80))
+
+
+def _shares(chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Letters of each script in each text."""
+    text = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(chars))))
+    slot = text * (len(SCRIPTS) + 1) + script_of(chars) + 1
+    return np.bincount(slot, minlength=len(starts) * (len(SCRIPTS) + 1)).reshape(len(starts), -1)[:, 1:]
+
+
+def _split(text: str) -> list[str]:
+    """Words of a text; of text without spaces single characters."""
+    return [w for part in text.split() for w in (list(part) if len(part) > 3 and any("\u2e80" <= c for c in part) else [part]) if any(map(str.isalpha, w))]
+
+
+def calibrated(samples: list[tuple[str, str]], order: int = ORDER, folds: int = FOLDS) -> Model:
+    """A model of all samples whose temperature and rejection come from held-out ones.
+
+    Each part of the samples is held out in turn. The temperature makes the posteriors of its pieces of a few words most
+    likely. A language explains a text within the nats per character that most of its words need that the other parts don't
+    have: text all of whose words are new is still accepted. A text is also rejected where most of its letters are of scripts
+    that the language's samples don't have.
+    """
+    model = train(samples, order)
+    n = len(model.languages)
+    chars, starts = encode([t for _, t in samples])
+    own = np.array([model.languages.index(lang) for lang, _ in samples])
+    model.scripts = np.stack([_shares(chars, starts)[own == j].sum(0) > 0 for j in range(n)])
+    scores, truth, needs = [], [], [[] for _ in range(n)]
+    for fold in range(min(folds, len(samples))):
+        held = samples[fold::folds]
+        rest = [x for i, x in enumerate(samples) if i % folds != fold]
+        if {lang for lang, _ in rest} != set(model.languages):
+            continue
+        part = train(rest, order)
+        seen = [{w for lang, t in rest if lang == x for w in _split(t)} for x in model.languages]
+        texts, langs, news, news_of = [], [], [], []
+        for lang, text in held:
+            j, words = model.languages.index(lang), _split(text)
+            glue = "" if words and len("".join(words)) == len(words) and len(words) > 1 else " "
+            pieces = [glue.join(words[i : i + k]) for k in PIECES for i in range(0, len(words) - k + 1, k)]
+            texts += pieces
+            langs += [j] * len(pieces)
+            new = [w for w in words if w not in seen[j]]
+            news += new
+            news_of += [j] * len(new)
+        if texts:
+            scores.append(part.score(*encode(texts)).astype(np.float64))
+            truth.append(np.array(langs))
+        if news:
+            chars, starts = encode(news)
+            length = np.maximum(np.diff(np.append(starts, len(chars))) - 1, 1)
+            for j, x in zip(news_of, -part.score(chars, starts)[np.arange(len(news)), news_of] / length):
+                needs[j].append(float(x))
+    if scores:
+        z, y = np.concatenate(scores), np.concatenate(truth)
+
+        def loss(t: float) -> float:
+            a = t * (z - z.max(1, keepdims=True))
+            return float((np.log(np.exp(a).sum(1)) - a[np.arange(len(y)), y]).mean())
+
+        model.temper = min(np.arange(0.05, 2.01, 0.05).tolist(), key=loss)
+    every = [x for xs in needs for x in xs]
+    most = float(np.quantile(every, EXPLAINED)) if every else float("inf")
+    model.reject = np.array([max(float(np.quantile(xs, EXPLAINED)), -float(model.floor[j]) if not xs else 0.0) if xs else most for j, xs in enumerate(needs)])
+    return model
+
+
 def label_language(col: Column) -> Column:
     """The code of the language that a label names; '' where it names none; the label itself for any other language."""
     plain = F.translate(F.lower(F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), r"(?U)\s+", " "))), "áàâãäçéèêëíìîïñóòôõöúùûü", "aaaaaceeeeiiiinooooouuuu")
@@ -224,7 +315,7 @@ def judge(model: Model, texts: list[str | None]) -> list[tuple[str | None, float
     if not lines:
         return [(None, 0.0, True, []) for _ in texts]
     out: list = []
-    scores, lengths = [], []
+    scores, lengths, shares = [], [], []
     step, size, k = [], 0, 0
     for line in [*lines, None]:
         if line is None or size > 200_000:
@@ -232,11 +323,13 @@ def judge(model: Model, texts: list[str | None]) -> list[tuple[str | None, float
                 chars, starts = encode(step)
                 scores.append(model.score(chars, starts))
                 lengths.append(np.diff(np.append(starts, len(chars))))
+                shares.append(_shares(chars, starts))
             step, size = [], 0
         if line is not None:
             step.append(line)
             size += len(line)
     score, length = np.concatenate(scores).astype(np.float64), np.maximum(np.concatenate(lengths), 1)
+    letters = np.concatenate(shares)
     owner = np.array(owner)
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
     for i in range(len(texts)):
@@ -251,11 +344,12 @@ def judge(model: Model, texts: list[str | None]) -> list[tuple[str | None, float
         gain = rows.max(1) - rows[:, best]
         other = (gain > MARGIN) & (gain / length[a:b] > MARGIN_PER_CHAR)
         lang = np.where(other, own, best)
-        soft = np.exp(TEMPER * (rows - rows.max(1, keepdims=True)))
+        soft = np.exp(model.temper * (rows - rows.max(1, keepdims=True)))
         sure = soft[np.arange(b - a), lang] / soft.sum(1)
         whole = rows.sum(0)
-        post = np.exp(TEMPER * (whole - whole.max()))
-        rejected = bool(-whole[best] / length[a:b].sum() > REJECT)
+        post = np.exp(model.temper * (whole - whole.max()))
+        script = letters[a:b].sum(0)
+        rejected = model.reject is not None and bool(-whole[best] / max(length[a:b].sum() - (b - a), 1) > model.reject[best] or 2 * script[~model.scripts[best]].sum() > script.sum() or not script.sum())
         out.append((model.languages[best], float(post[best] / post.sum()), rejected, [(model.languages[j], float(s)) for j, s in zip(lang, sure)]))
     return out
 
@@ -264,14 +358,15 @@ def languages(docs: DataFrame, samples: DataFrame, key: str, text: str, label: s
     """(key, seg, lang, confidence, rejected, mixed, named): per document one row with seg -1, per line one with its number.
 
     Lines are the text split at line breaks, blank ones skipped, numbered from 0. named is the language that the label
-    names, '' for none. Empty and null texts have one row with a null language. The models are fitted on at most
+    names, '' for none. Empty and null texts, texts without letters and those that no model explains have one row with a null
+    language; their lines, if they have any, come out with the language nearest to them. The models are fitted on at most
     most_samples labelled samples, the first by hash; every document is judged whole, in place.
     """
     rows = samples.filter(F.col(sample_lang).isNotNull() & F.col(sample_text).isNotNull()).select(label_language(F.col(sample_lang)).alias("l"), F.col(sample_text).alias("t")).orderBy(F.xxhash64("t"), "t").limit(most_samples).collect()
     labelled = [(r["l"], r["t"]) for r in rows if r["l"] and r["t"].strip()]
     if not labelled:
         raise ValueError("no labelled samples to train on")
-    model = docs.sparkSession.sparkContext.broadcast(train(labelled))
+    model = docs.sparkSession.sparkContext.broadcast(calibrated(labelled))
     schema = f"{key} long, seg int, lang string, confidence double, rejected boolean, mixed boolean, named string"
 
     def scan(batches):
@@ -280,7 +375,7 @@ def languages(docs: DataFrame, samples: DataFrame, key: str, text: str, label: s
             out: list[tuple] = []
             for k, name, (lang, sure, rejected, lines) in zip(keys, named, judge(model.value, texts)):
                 mixed = len({x for x, _ in lines}) > 1
-                out.append((k, -1, lang, sure, rejected, mixed, name))
+                out.append((k, -1, None if rejected and not mixed else lang, sure, rejected, mixed, name))
                 out += [(k, i, x, s, rejected, mixed, name) for i, (x, s) in enumerate(lines)]
             cols = list(zip(*out)) if out else [()] * 7
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.bool_(), pa.bool_(), pa.string()))], names=[key, "seg", "lang", "confidence", "rejected", "mixed", "named"])

@@ -61,3 +61,23 @@ def test_documents(spark, samples):
 @pytest.mark.parametrize("label,code", [("EN", "en"), ("eng", "en"), ("pt-BR", "pt"), ("zh_CN", "zh"), (" Español ", "es"), ("N/A", ""), (None, ""), (" ", ""), ("Unknown", ""), ("Italian", "italian"), ("中文", "zh"), ("ger", "de")])
 def test_labels(spark, label, code):
     assert spark.createDataFrame([(label,)], "l string").select(language.label_language(F.col("l")).alias("c")).first()["c"] == code
+
+
+def test_calibration(samples):
+    """On samples held out, confidence is about the share of right answers, and no sound text is rejected."""
+    rows = [(r["lang"], r["text"]) for r in samples.orderBy("sample_id").collect()]
+    model = language.calibrated([x for i, x in enumerate(rows) if i % 4])
+    held = [x for i, x in enumerate(rows) if i % 4 == 0]
+    assert not any(g[2] for g in language.judge(model, [t for _, t in held]))
+    words = [(lang, w) for lang, t in held if lang != "zh" for w in language._split(t)]
+    got = language.judge(model, [w for _, w in words])
+    right, sure = np.mean([a == g[0] for (a, _), g in zip(words, got)]), np.mean([g[1] for g in got])
+    assert abs(right - sure) < 0.06 and 0.05 < model.temper < 2
+
+
+def test_rejection(samples):
+    rows = [(r["lang"], r["text"]) for r in samples.orderBy("sample_id").collect()]
+    model = language.calibrated(rows)
+    strange = ["qwx zzkj vvpq wwxk jjqz", "Это русский текст о погоде", "αυτό είναι ένα κείμενο", "これはひらがなのぶんです", "12 34 56"]
+    sound = [EN, DE, ZH, "Un texte français tout à fait ordinaire sur le jardin.", "𠀋𠮟𡈽村庄的成本比较", EN.upper()]
+    assert all(g[2] for g in language.judge(model, strange)) and not any(g[2] for g in language.judge(model, sound))
