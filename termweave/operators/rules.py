@@ -133,19 +133,31 @@ def full_mapping(auto: DataFrame | None, rules: DataFrame | None) -> DataFrame:
     return resolve(mapping)
 
 
+def with_normal_forms(mapping: DataFrame) -> DataFrame:
+    """(label, target): a resolved mapping whose labels' normal forms are labels too, where no rule has them.
+
+    Of several labels with one normal form the last by name counts. Chains are resolved once more, so that a target which is
+    a label in normal form only is followed.
+    """
+    exact = cut(mapping.select("label", "target"), "exact")
+    forms = exact.select(text.normalize(F.col("label")).alias("form"), "label", "target").groupBy("form").agg(F.max_by("target", "label").alias("target"))
+    return resolve(exact.unionByName(forms.select(F.col("form").alias("label"), "target").join(exact.select("label"), "label", "left_anti")))
+
+
 def merge_terms(corpus: DataFrame, mapping: DataFrame, drop: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(corpus, statuses): terms rewritten by a resolved mapping, those dropped left out, each kept once in its first place.
 
-    A term is looked up as it is, then in its normal form, where of several labels with one normal form the last by name
-    counts. A term that leads to a dropped one is dropped too. Documents left without terms keep an empty list. statuses has
-    (term, target, status, n) per distinct term; its n are entries before repeated ones are joined.
+    A term is looked up as it is, then in its normal form. A term that leads to a dropped one is dropped too. Documents left
+    without terms keep an empty list. statuses has (term, target, status, n) per distinct term; its n are entries before
+    repeated ones are joined.
     """
     entries = corpus.select("doc_id", F.posexplode("terms").alias("pos", "raw")).withColumn("term", F.trim("raw")).filter("term <> ''")
     words = cut(entries.groupBy("term").agg(F.count("*").alias("n")).withColumn("normal", text.normalize(F.col("term"))), "words")
-    labels = mapping.withColumn("normal", text.normalize(F.col("label")))
-    by_normal = labels.groupBy("normal").agg(F.max_by("target", "label").alias("by_normal"))
-    exact = labels.select(F.col("label").alias("term"), F.col("target").alias("exact"))
-    found = words.join(broadcast_if_small(cut(exact, "exact")), "term", "left").join(broadcast_if_small(cut(by_normal, "by_normal")), "normal", "left")
+    labels = cut(with_normal_forms(mapping), "labels")
+    small = broadcast_if_small(labels)
+    exact = small.select(F.col("label").alias("term"), F.col("target").alias("exact"))
+    by_normal = small.select(F.col("label").alias("normal"), F.col("target").alias("by_normal"))
+    found = words.join(exact, "term", "left").join(by_normal, "normal", "left")
     found = found.withColumn("target", F.coalesce("exact", "by_normal")).withColumn("target_normal", text.normalize(F.col("target")))
     if drop is not None:
         blocked = cut(drop.select(text.normalize(F.col("term")).alias("blocked")).distinct(), "blocked")

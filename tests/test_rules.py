@@ -64,3 +64,23 @@ def test_generic(spark):
     assert [r["term"] for r in kept.collect()] == ["Machine Learning"]
     assert sorted(r["term"] for r in dropped.collect()) == ["Case-Study", "mine", "模型"]
     assert kept.select(F.col("df")).first()[0] == 3
+
+
+def test_targets_that_are_labels_in_normal_form(spark):
+    """A chain goes on where its target is a label in another case or with other hyphens."""
+    corpus = spark.createDataFrame([(1, ["A B", "a-b", "C D", "c_d", "keep"])], "doc_id long, terms array<string>")
+    given = rules.ordered_rules(spark.createDataFrame([("A B", "c d", 1), ("C D", "e", 2)], "label string, replace_by string, seq long"))
+    merged, statuses = rules.merge_terms(corpus, rules.full_mapping(None, given), rules.drop_terms(given))
+    assert merged.first()["terms"] == ["e", "keep"]
+    assert rules.merge_stats(statuses).first().asDict() == {"merged": 4, "dropped": 0, "kept": 1}
+
+
+def test_groups_and_rules_together(spark):
+    """Automatic groups and rules that turn against each other leave one spelling of each term."""
+    lists = [["older adults", "smart home"], ["older adults", "IoT"], ["older adults", "AAL"], ["Older adults", "smart home"], ["older adult", "falls"], ["smart home", "smart homes"], ["Smart home", "elderly"], ["older adults", "dementia"]]
+    corpus = spark.createDataFrame(list(enumerate(lists)), "doc_id long, terms array<string>")
+    given = rules.ordered_rules(spark.createDataFrame([("older adults", "older adult", 1), ("elderly", "older adult", 2), ("IoT", "internet of things", 3), ("AAL", "ambient assisted living", 4), ("smart homes", "smart home", 5)], "label string, replace_by string, seq long"))
+    mapping = rules.full_mapping(rules.auto_groups(network.document_frequency(corpus)), given)
+    merged, _ = rules.merge_terms(corpus, mapping, rules.drop_terms(given))
+    found = {t for r in merged.collect() for t in r["terms"]}
+    assert found == {"older adult", "smart home", "internet of things", "ambient assisted living", "falls", "dementia"}
