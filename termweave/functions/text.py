@@ -52,26 +52,30 @@ EQUIVALENTS = [
 
 #: Terms that name a discipline, a method or nothing in particular. Fixed values.
 GENERIC_EN = (
-    "computer science; medicine; engineering; psychology; business; gerontology; sociology; mathematics; physics; chemistry; biology; "
-    "materials science; nursing; political science; economics; geography; environmental science; education; law; history; philosophy; "
-    "statistics; archaeology; geology; art; literature; linguistics; anthropology; neuroscience; biochemistry; genetics; ecology; "
-    "astronomy; optics; acoustics; thermodynamics; quantum mechanics; electromagnetism; electrical engineering; mechanical engineering; "
-    "civil engineering; aerospace engineering; systems engineering; control engineering; control theory; manufacturing engineering; "
-    "structural engineering; computer network; operating system; embedded system; real-time computing; data science; world wide web; "
-    "telecommunications; internet privacy; computer security; distributed computing; parallel computing; cloud computing; "
-    "software engineering; programming language; database; computer graphics; image processing; signal processing; "
-    "information technology; information science; library science; knowledge management; simulation; visualization; algorithm; wireless; "
-    "software; hardware; computing; population; architecture; context; value (mathematics; phase (matter; bridging (networking; "
-    "set (mathematics; quality (philosophy; structure (mathematical; questionnaire; interview; case study; empirical research; "
-    "quantitative research; qualitative research; literature review; systematic review; meta-analysis; survey; quality of life; "
-    "well-being; satisfaction; usability; performance; efficiency; effectiveness; implementation; framework; model; system; method; "
-    "approach; analysis; evaluation; assessment; design; development; management"
-).split("; ")
+    "computer science", "medicine", "engineering", "psychology", "business", "gerontology", "sociology", "mathematics",
+    "physics", "chemistry", "biology", "materials science", "nursing", "political science", "economics", "geography",
+    "environmental science", "education", "law", "history", "philosophy", "statistics", "archaeology", "geology", "art",
+    "literature", "linguistics", "anthropology", "neuroscience", "biochemistry", "genetics", "ecology", "astronomy", "optics",
+    "acoustics", "thermodynamics", "quantum mechanics", "electromagnetism", "electrical engineering", "mechanical engineering",
+    "civil engineering", "aerospace engineering", "systems engineering", "control engineering", "control theory",
+    "manufacturing engineering", "structural engineering", "computer network", "operating system", "embedded system",
+    "real-time computing", "data science", "world wide web", "telecommunications", "internet privacy", "computer security",
+    "distributed computing", "parallel computing", "cloud computing", "software engineering", "programming language",
+    "database", "computer graphics", "image processing", "signal processing", "information technology", "information science",
+    "library science", "knowledge management", "simulation", "visualization", "algorithm", "wireless", "software", "hardware",
+    "computing", "population", "architecture", "context", "value (mathematics", "phase (matter", "bridging (networking",
+    "set (mathematics", "quality (philosophy", "structure (mathematical", "questionnaire", "interview", "case study",
+    "empirical research", "quantitative research", "qualitative research", "literature review", "systematic review",
+    "meta-analysis", "survey", "quality of life", "well-being", "satisfaction", "usability", "performance", "efficiency",
+    "effectiveness", "implementation", "framework", "model", "system", "method", "approach", "analysis", "evaluation",
+    "assessment", "design", "development", "management",
+)
 GENERIC_ZH = (
-    "计算机科学 医学 工程 心理学 管理学 经济学 社会学 数学 物理学 化学 生物学 材料科学 护理学 政治学 地理学 环境科学 教育学 法学 历史学 哲学 统计学 情报学 图书馆学 "
-    "影响因素 研究进展 研究综述 文献综述 研究现状 对策建议 启示 综述 述评 研究展望 应用现状 研究热点 可视化分析 文献计量分析 知识图谱 研究趋势 案例分析 实证研究 问卷调查 "
-    "深度访谈 生活质量 满意度 可用性 绩效 效率 框架 模型 系统 方法 分析 评价 设计 开发 管理 应用 技术"
-).split()
+    "计算机科学", "医学", "工程", "心理学", "管理学", "经济学", "社会学", "数学", "物理学", "化学", "生物学", "材料科学", "护理学", "政治学", "地理学", "环境科学", "教育学", "法学",
+    "历史学", "哲学", "统计学", "情报学", "图书馆学", "影响因素", "研究进展", "研究综述", "文献综述", "研究现状", "对策建议", "启示", "综述", "述评", "研究展望", "应用现状", "研究热点",
+    "可视化分析", "文献计量分析", "知识图谱", "研究趋势", "案例分析", "实证研究", "问卷调查", "深度访谈", "生活质量", "满意度", "可用性", "绩效", "效率", "框架", "模型", "系统", "方法",
+    "分析", "评价", "设计", "开发", "管理", "应用", "技术",
+)
 
 
 def split_multi(col: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.session import broadcast_if_small, cut
@@ -49,17 +49,21 @@ def kept_terms(corpus: DataFrame, min_occurrences: int = 2, max_terms: int | Non
     return top_terms(frequency, max_terms) if max_terms else frequency
 
 
+def row_numbers(df: DataFrame, order: list[Column], name: str, one_partition: int = ONE_PARTITION) -> DataFrame:
+    """df, a written table, with numbers from 1 in an order that has no ties; more rows than one partition takes range by range."""
+    if df.count() <= one_partition:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    parts = cut(df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism * 4, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).select("_part", "_before")
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_at", at).join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_at")).cast("bigint")).drop("_part", "_at", "_before")  # a row per range
+
+
 def numbered(kept: DataFrame) -> DataFrame:
     """(id, label, occurrences): ids from 1 by falling frequency, equal ones by name. kept is a written table."""
-    order = [F.desc("df"), F.asc("term")]
-    if kept.count() <= ONE_PARTITION:
-        out = kept.withColumn("id", F.row_number().over(Window.orderBy(*order)))
-    else:
-        parts = cut(kept.repartitionByRange(kept.sparkSession.sparkContext.defaultParallelism * 4, *order).withColumn("part", F.spark_partition_id()), "ranges")
-        sizes = parts.groupBy("part").agg(F.count("*").alias("size"))
-        before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("part")) - F.col("size")).select("part", "before")
-        out = parts.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(*order))).join(F.broadcast(before), "part").withColumn("id", F.col("before") + F.col("at"))
-    return out.select(F.col("id").cast("bigint").alias("id"), F.col("term").alias("label"), F.col("df").alias("occurrences"))
+    out = row_numbers(kept, [F.desc("df"), F.asc("term")], "id")
+    return out.select("id", F.col("term").alias("label"), F.col("df").alias("occurrences"))
 
 
 def present(corpus: DataFrame, nodes: DataFrame) -> DataFrame:

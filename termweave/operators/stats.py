@@ -11,6 +11,8 @@ from termweave.session import broadcast_if_small
 
 #: A pair is a gap candidate if at least so many common documents are expected and the share of them found is below this.
 EXPECTED, RATIO, ALPHA = 1.0, 0.35, 0.05
+#: Shares of the nodes of one power of two, so that a common one doesn't meet all others in one task.
+SHARES = 16
 
 
 def modularity(edges: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -47,12 +49,17 @@ def gap_pairs(nodes: DataFrame, edges: DataFrame, assignment: DataFrame, n_docs:
 
     Pairs of nodes in different clusters, each with min_occurrences, of which at least one common document is expected and
     less than 0.35 of the expected ones are found; a missing edge counts 0. Every such pair is asked for, so their number is
-    quadratic in the nodes with enough occurrences: the expectation bounds it, as occ_a * occ_b must reach n_docs.
+    quadratic in the nodes with enough occurrences: the expectation bounds it, as occ_a * occ_b must reach n_docs. Nodes meet
+    by the power of two of their occurrences, only where two powers together can reach that, in SHARES of each.
     """
-    kept = nodes.filter(F.col("occurrences") >= min_occurrences).join(assignment.select("id", "cluster"), "id")
-    side = lambda s: kept.select(F.col("id").alias(f"id_{s}"), F.col("label").alias(f"term_{s}"), F.col("cluster").alias(f"cluster_{s}"), F.col("occurrences").alias(f"occ_{s}"))
-    other = broadcast_if_small(side("b"))
-    pairs = side("a").join(other, (F.col("id_a") < F.col("id_b")) & (F.col("cluster_a") != F.col("cluster_b")) & (F.col("occ_a") * F.col("occ_b") >= F.lit(EXPECTED * n_docs)))
+    kept = nodes.filter(F.col("occurrences") >= min_occurrences).join(assignment.select("id", "cluster"), "id").withColumn("band", F.floor(F.log2("occurrences")).cast("int"))
+    side = lambda s: [F.col("id").alias(f"id_{s}"), F.col("label").alias(f"term_{s}"), F.col("cluster").alias(f"cluster_{s}"), F.col("occurrences").alias(f"occ_{s}")]
+    top = max(1, int(n_docs)).bit_length()
+    # 2^(band + 1) times 2^(other + 1) must exceed n_docs.
+    least = F.greatest(F.lit(0), F.ceil(F.log2(F.lit(float(max(1, n_docs))))).cast("int") - F.col("band") - 2)
+    a = kept.select(*side("a"), F.explode(F.when(least <= top, F.sequence(least, F.lit(top))).otherwise(F.array().cast("array<int>"))).alias("band"), F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("int").alias("share"))
+    b = kept.select(*side("b"), "band", F.explode(F.array(*map(F.lit, range(SHARES)))).alias("share"))
+    pairs = a.join(b, ["band", "share"]).filter((F.col("id_a") < F.col("id_b")) & (F.col("cluster_a") != F.col("cluster_b")) & (F.col("occ_a") * F.col("occ_b") >= F.lit(EXPECTED * n_docs))).drop("band", "share")
     found = pairs.join(edges.select(F.col("src").alias("id_a"), F.col("dst").alias("id_b"), "weight"), ["id_a", "id_b"], "left")
     measured = found.withColumn("actual", F.coalesce("weight", F.lit(0.0))).withColumn("expected", F.col("occ_a") * F.col("occ_b") / F.lit(float(n_docs))).withColumn("ratio", F.col("actual") / F.col("expected"))
     tested = measured.filter(F.col("ratio") < RATIO).withColumn("p_value", hypergeometric_tail(F.lit(n_docs), F.col("occ_a"), F.col("occ_b"), F.col("actual").cast("bigint")))

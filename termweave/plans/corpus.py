@@ -49,3 +49,10 @@ def domain_filter(records: DataFrame, wanted: list[str]) -> DataFrame:
 def coverage(corpus: DataFrame) -> DataFrame:
     """(documents, with_terms)."""
     return corpus.agg(F.count("*").alias("documents"), F.count_if(F.size("terms") > 0).alias("with_terms"))
+
+
+def year_range(corpus: DataFrame) -> DataFrame:
+    """(documents, with_terms, share, first_year, last_year): coverage, and the years of the documents that have one."""
+    real = F.when(F.col("year") > 0, F.col("year"))
+    out = corpus.agg(F.count("*").alias("documents"), F.count_if(F.size("terms") > 0).alias("with_terms"), F.min(real).alias("first_year"), F.max(real).alias("last_year"))
+    return out.select("documents", "with_terms", F.try_divide("with_terms", "documents").alias("share"), "first_year", "last_year")

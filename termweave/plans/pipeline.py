@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.operators import graph, network, rules, stats
 from termweave.plans.corpus import coverage, domain_filter, terms_of
 from termweave.session import cut
-from termweave.sources import sinks
+from termweave.sources import readers, sinks
 
 
 class NothingLeft(ValueError):
@@ -35,6 +36,7 @@ class Options:
     drop_generic: bool = False
     largest_component: bool = False
     least_nodes: int = 5
+    betweenness: bool = True
 
 
 @dataclass
@@ -49,7 +51,7 @@ class Analysis:
     statuses: DataFrame
     net: network.Network
     assignment: DataFrame
-    centrality: DataFrame
+    centrality: DataFrame | None
 
 
 def analyze(records: DataFrame, options: Options | None = None, thesauri: list[DataFrame] = ()) -> Analysis:
@@ -86,7 +88,7 @@ def analyze(records: DataFrame, options: Options | None = None, thesauri: list[D
     if net.nodes.count() < o.least_nodes:
         raise TooFewNodes(f"fewer than {o.least_nodes} nodes; min_occurrences {network.suggest_min_occurrences(network.document_frequency(merged))} would give about 60")
     assignment = cut(graph.louvain(net.nodes, net.edges, o.resolution), "assignment")
-    centrality = cut(graph.betweenness(net.nodes, net.edges), "centrality")
+    centrality = cut(graph.betweenness(net.nodes, net.edges), "centrality") if o.betweenness else None
     return Analysis(o, merged, frequency, groups, candidates, mapping, drop, statuses, net, assignment, centrality)
 
 
@@ -106,7 +108,7 @@ def report(a: Analysis) -> tuple[str, str]:
     pairs = cut(stats.gap_pairs(net.nodes, net.edges, a.assignment, net.n_docs, max(2, a.options.min_occurrences)), "gaps")
     summary = stats.network_summary(net.nodes, net.edges, a.assignment, net.n_docs).first().asDict()
     profile = rows(stats.cluster_profile(net.nodes, a.assignment).orderBy(F.desc("size"), "cluster"))
-    bridges = rows(a.centrality.join(net.nodes.select("id", "label"), "id").orderBy(F.desc("betweenness"), "id").limit(10).select("label", "betweenness"))
+    bridges = [] if a.centrality is None else rows(a.centrality.join(net.nodes.select("id", "label"), "id").orderBy(F.desc("betweenness"), "id").limit(10).select("label", "betweenness"))
     return sinks.analysis_report(summary, rules.merge_stats(a.statuses).first().asDict(), profile, rows(network.strongest(net.edges, net.nodes)), bridges, rows(stats.top_gaps(pairs)), stats.gap_summary(pairs).first().asDict(), asdict(a.options))
 
 
@@ -121,3 +123,43 @@ def write(a: Analysis, folder: str) -> None:
     for name, text in texts.items():
         with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
             f.write(text)
+
+
+def register_views(a: Analysis, prefix: str = "") -> list[str]:
+    """Temporary views of an analysis for SQL: corpus, terms, nodes, edges, clusters and rules, each name after the prefix."""
+    views = {"corpus": a.corpus, "terms": a.frequency, "nodes": a.net.nodes, "edges": a.net.edges, "clusters": a.assignment, "rules": a.mapping}
+    for name, df in views.items():
+        df.createOrReplaceTempView(prefix + name)
+    return [prefix + name for name in views]
+
+
+@dataclass
+class Reloaded:
+    net: network.Network
+    assignment: DataFrame
+    layout: bool
+    merge: dict
+
+
+def reload(spark: SparkSession, folder: str, layout: tuple[str, str] | None = None, resolution: float = 1.0) -> Reloaded:
+    """The network that write() left in a folder, with its number of documents and merged entries, clustered anew.
+
+    layout names a map file that was laid out elsewhere, and its network file: where its labels are those of the network, its
+    places and clusters are taken over; else it is out of date, and layout is False in the result.
+    """
+    nodes, edges = cut(readers.read_map(spark, os.path.join(folder, "map.txt")), "nodes"), cut(readers.read_network(spark, os.path.join(folder, "network.txt")), "edges")
+    if nodes.isEmpty():
+        raise NothingLeft(f"no nodes in {folder}")
+    try:
+        with open(os.path.join(folder, "report.json"), encoding="utf-8") as f:
+            meta = json.load(f)
+    except (OSError, ValueError):
+        meta = {}
+    found = cut(readers.read_map(spark, layout[0]), "layout") if layout and os.path.isfile(layout[0]) else None
+    fresh = found is not None and network.label_differences(nodes, found).isEmpty()
+    if fresh:
+        nodes = cut(network.with_layout(nodes, found), "nodes")
+        assignment = nodes.select("id", F.col("cluster").cast("bigint").alias("cluster"))
+    else:
+        assignment = cut(graph.louvain(nodes, edges, resolution), "assignment")
+    return Reloaded(network.Network(nodes, edges, int((meta.get("summary") or {}).get("n_docs") or 0)), assignment, fresh, meta.get("merge") or {"merged": 0, "dropped": 0, "kept": 0})

@@ -203,14 +203,47 @@ def keyword_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 # -- text functions --------------------------------------------------------------------------------------------------------
 
-_KEYS = "SELECT DISTINCT unnest(keywords) AS term FROM records"
+#: The comparison form in DuckDB: NFC and full-width forms stand for NFKC on the test tables.
+_WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000", ("".join(map(chr, range(0x21, 0x7F))) + " ").replace("'", "''")
+_FORM = "trim(regexp_replace(translate(nfc_normalize(lower({})), '" + _WIDE + "', '" + _NARROW.replace("{", "{{").replace("}", "}}") + r"'), '[\s\p{{Z}}\-_‐–—]+', ' ', 'g'))"
+_SING = "CASE WHEN length({0}) <= 3 THEN {0} WHEN {0} LIKE '%ies' AND length({0}) > 4 THEN {0}[:-4] || 'y' WHEN regexp_matches({0}, '(sses|shes|ches|xes|zes)$') THEN {0}[:-3] WHEN {0} LIKE '%s' AND NOT regexp_matches({0}, '(ss|us|is)$') THEN {0}[:-2] ELSE {0} END"
+_RECORDS = "(SELECT DISTINCT ON (record_id) * FROM records ORDER BY record_id, loaded_at DESC)"
+_TERMS = "SELECT DISTINCT unnest(keywords) AS term FROM records"
+
+
+def _equal_sql(term: str) -> str:
+    """The equivalence rules as nested replacements; word boundaries in DuckDB know ASCII letters only."""
+    out = term
+    for pattern, replacement in text.EQUIVALENTS:
+        out = f"regexp_replace({out}, '(?i){pattern}', '{replacement}', 'g')"
+    out = f"trim(regexp_replace({out}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
+    return f"CASE WHEN {out} = '' THEN {term} ELSE {out} END"
+
+
+def _key_sql(normal: str) -> str:
+    """The comparison key of a term in comparison form."""
+    words = f"list_filter(string_split_regex(regexp_replace({normal}, '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '')"
+    return f"array_to_string(list_transform({words}, lambda w: {_SING.format('w')}), ' ')"
+
+
+_EDGE_SQL = text.EDGES.replace("'", "''")
+_CLEAN = f"""
+c0 AS (SELECT term, trim(translate(regexp_replace(coalesce(term, ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), '{text.DASHES}', '{'-' * len(text.DASHES)}'), '{_EDGE_SQL}') AS t FROM k),
+c1 AS (SELECT term, t, regexp_replace(t[2:-2], '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS i FROM c0),
+c2 AS (SELECT term, CASE WHEN length(t) > 2 AND t LIKE '(%)' AND length(replace(i, '(', '')) = length(replace(i, ')', '')) THEN i ELSE t END AS t FROM c1),
+c3 AS (SELECT term, t, regexp_replace(regexp_replace(t, '[\\s\\p{{Z}}]*\\([^)]*$', ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS h, list_transform(range(1, length(t) + 1), lambda n: (length(t[:n]) - length(replace(t[:n], '(', ''))) - (length(t[:n]) - length(replace(t[:n], ')', '')))) AS d FROM c2),
+c4 AS (SELECT term, t, h, length(replace(t, '(', '')) = length(replace(t, ')', '')) AS even, h <> '' AND length(replace(h, '(', '')) = length(replace(h, ')', '')) AS cut,
+       array_to_string(list_transform(list_filter(range(1, length(t) + 1), lambda n: NOT (t[n] = ')' AND d[n] < least(0, coalesce(list_min(d[1:n - 1]), 0)))), lambda n: t[n]), '') AS u FROM c3),
+c5 AS (SELECT *, list_transform(range(1, length(u) + 1), lambda n: (length(u[n:]) - length(replace(u[n:], '(', ''))) - (length(u[n:]) - length(replace(u[n:], ')', '')))) AS e, length(replace(u, ')', '')) - length(replace(u, '(', '')) AS open FROM c4),
+c6 AS (SELECT *, array_to_string(list_transform(list_filter(range(1, length(u) + 1), lambda n: NOT (u[n] = '(' AND length(u[n:]) - length(replace(u[n:], '(', '')) <= open)), lambda n: u[n]), '') AS v FROM c5),
+"""
 
 
 def _keywords(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "records").select(F.explode("keywords").alias("term")).distinct()
 
 
-@query()
+@query(f"WITH k AS ({_TERMS}), {_CLEAN} x AS (SELECT 1) SELECT term, trim(regexp_replace(trim(CASE WHEN even THEN t WHEN cut THEN h ELSE v END, '{_EDGE_SQL}'), '[\\s\\p{{Z}}]+', ' ', 'g')) AS cleaned FROM c6")
 def clean_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Cleaned forms of every keyword."""
     return _keywords(spark, folder).select("term", text.clean_term(F.col("term")).alias("cleaned"))
@@ -241,21 +274,16 @@ def singularize(spark: SparkSession, folder: str) -> DataFrame:
     return words.select("word", text.singularize(F.col("word")).alias("singular"))
 
 
-@query()
+@query(f"WITH k AS ({_TERMS}), q AS (SELECT term, {_equal_sql('term')} AS t FROM k), f AS (SELECT term, {_FORM.format('t')} AS n FROM q) SELECT term, {_key_sql('n')} AS key FROM f")
 def key_form(spark: SparkSession, folder: str) -> DataFrame:
     """Comparison keys of every keyword, after the equivalence rules."""
     return _keywords(spark, folder).select("term", text.key_form(text.equivalents(F.col("term"))).alias("key"))
 
 
-def _replace_sql() -> str:
-    """The equivalence rules as nested replacements, on ASCII text."""
-    out = "p_type || ' ' || p_name || ' for the elderly, IoT and telemonitoring'"
-    for pattern, replacement in text.EQUIVALENTS:
-        out = f"regexp_replace({out}, '(?i){pattern}', '{replacement}', 'g')"
-    return out
+_PHRASE = "p_type || ' ' || p_name || ' for the elderly, IoT and telemonitoring'"
 
 
-@query(f"SELECT DISTINCT p_type || ' ' || p_name || ' for the elderly, IoT and telemonitoring' AS term, trim(regexp_replace({_replace_sql()}, '\\s+', ' ', 'g')) AS replaced FROM part")
+@query(f"WITH k AS (SELECT DISTINCT {_PHRASE} AS term FROM part) SELECT term, {_equal_sql('term')} AS replaced FROM k")
 def builtin_rules(spark: SparkSession, folder: str) -> DataFrame:
     terms = table(spark, folder, "part").select(F.concat_ws(" ", "p_type", "p_name", F.lit("for the elderly, IoT and telemonitoring")).alias("term")).distinct()
     return terms.select("term", text.equivalents(F.col("term")).alias("replaced"))
@@ -264,7 +292,10 @@ def builtin_rules(spark: SparkSession, folder: str) -> DataFrame:
 # -- rules -----------------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"""WITH k AS (SELECT record_id, unnest(list_distinct(keywords)) AS term FROM {_RECORDS}), c AS (SELECT term, count(*) AS df FROM k WHERE term <> '' GROUP BY term),
+q AS (SELECT term, df, {_equal_sql('term')} AS t FROM c), f AS (SELECT term, df, {_FORM.format('t')} AS n FROM q), g AS (SELECT term, df, {_key_sql('n')} AS key FROM f),
+b AS (SELECT key, term AS canonical, df AS canonical_df FROM g QUALIFY row_number() OVER (PARTITION BY key ORDER BY df DESC, term) = 1)
+SELECT canonical, term AS member, canonical_df, df AS member_df FROM g JOIN b USING (key) WHERE term <> canonical""")
 def auto_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Keywords with one comparison key, under the most frequent of them."""
     return rules.auto_groups(cut(network.document_frequency(corpora.from_records(spark, folder)), "frequency"))
@@ -283,9 +314,6 @@ def _candidates(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     return rules.fuzzy_candidates(frequency, _top_pairs(docs, frequency), kinds=(kind,))
 
 
-_SING = "CASE WHEN length({0}) <= 3 THEN {0} WHEN {0} LIKE '%ies' AND length({0}) > 4 THEN {0}[:-4] || 'y' WHEN regexp_matches({0}, '(sses|shes|ches|xes|zes)$') THEN {0}[:-3] WHEN {0} LIKE '%s' AND NOT regexp_matches({0}, '(ss|us|is)$') THEN {0}[:-2] ELSE {0} END"
-
-
 @query(f"""WITH {_DOCS} f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
 r AS (SELECT term, df, row_number() OVER (ORDER BY df DESC, term) AS rk, {_SING.format('term')} AS key FROM f ORDER BY df DESC, term LIMIT 300),
 x AS (SELECT t.doc_id, term FROM t JOIN r USING (term)),
@@ -307,13 +335,32 @@ def _thesaurus(spark: SparkSession, folder: str) -> DataFrame:
     return rules.ordered_rules(table(spark, folder, "thesaurus").select("label", "replace_by", F.col("rule_id").alias("seq")))
 
 
-_RULES = """
+def _chains(source: str, name: str) -> str:
+    """The ends of the chains of a table (label, target); a cycle ends in its least member."""
+    return f"""
+{name}_walk AS (SELECT label, target AS nxt, [label] AS path, 0 AS depth FROM {source}
+         UNION ALL SELECT k.label, w.target, list_append(path, w.label), depth + 1 FROM {name}_walk k JOIN {source} w ON w.label = k.nxt WHERE NOT list_contains(path, w.label)),
+{name}_ends AS (SELECT label, arg_max(nxt, depth) AS nxt, arg_max(path, depth) AS path FROM {name}_walk GROUP BY label),
+{name} AS (SELECT label, CASE WHEN list_contains(path, nxt) THEN list_min(path[list_position(path, nxt):]) ELSE nxt END AS target FROM {name}_ends),
+"""
+
+
+_RULES = f"""
 r AS (SELECT trim(label) AS label, trim(coalesce(replace_by, '')) AS target, rule_id FROM thesaurus WHERE trim(label) <> ''),
 w AS (SELECT label, arg_max(target, rule_id) AS target FROM r WHERE target <> '' GROUP BY label),
-walk AS (SELECT label, label AS at, target AS nxt, [label] AS path, 0 AS depth FROM w
-         UNION ALL SELECT walk.label, w.label, w.target, list_append(path, w.label), depth + 1 FROM walk JOIN w ON w.label = walk.nxt WHERE NOT list_contains(path, w.label)),
-ends AS (SELECT label, arg_max(nxt, depth) AS nxt, arg_max(path, depth) AS path FROM walk GROUP BY label),
-res AS (SELECT label, CASE WHEN list_contains(path, nxt) THEN list_min(path[list_position(path, nxt):]) ELSE nxt END AS target FROM ends),
+{_chains('w', 'res')}
+"""
+_MERGE = f"""
+m1 AS (SELECT label, target FROM res WHERE label <> target),
+mf AS (SELECT {_FORM.format('label')} AS label, arg_max(target, label) AS target FROM m1 GROUP BY 1),
+m2 AS (SELECT * FROM m1 UNION ALL SELECT * FROM mf WHERE label NOT IN (SELECT label FROM m1)),
+{_chains('m2', 'm3')}
+m AS (SELECT * FROM m3 WHERE label <> target),
+de AS (SELECT DISTINCT {_FORM.format('label')} AS form FROM r WHERE target = ''),
+ke AS (SELECT record_id AS doc_id, unnest(keywords) AS raw, generate_subscripts(keywords, 1) AS pos FROM {_RECORDS}),
+kn AS (SELECT doc_id, pos, trim(raw) AS term, {_FORM.format('trim(raw)')} AS form FROM ke WHERE trim(raw) <> ''),
+kt AS (SELECT kn.*, coalesce(a.target, b.target, term) AS target FROM kn LEFT JOIN m a ON a.label = term LEFT JOIN m b ON b.label = kn.form),
+ks AS (SELECT *, CASE WHEN form IN (SELECT form FROM de) OR (target <> term AND {_FORM.format('target')} IN (SELECT form FROM de)) THEN 'dropped' WHEN target <> term THEN 'merged' ELSE 'kept' END AS status FROM kt),
 """
 
 
@@ -329,22 +376,28 @@ def _merged(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return rules.merge_terms(docs, cut(rules.full_mapping(None, given), "mapping"), rules.drop_terms(given))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_RULES} {_MERGE} kd AS (SELECT doc_id, target, min(pos) AS pos FROM ks WHERE status <> 'dropped' GROUP BY 1, 2), kl AS (SELECT doc_id, list(target ORDER BY pos) AS terms FROM kd GROUP BY 1)
+SELECT record_id AS doc_id, coalesce(terms, []) AS terms FROM {_RECORDS} LEFT JOIN kl ON doc_id = record_id""")
 def merge_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Keywords of each record after the thesaurus."""
     return _merged(spark, folder)[0]
 
 
-@query()
+@query(f"WITH RECURSIVE {_RULES} {_MERGE} x AS (SELECT 1) SELECT count(*) FILTER (status = 'merged') AS merged, count(*) FILTER (status = 'dropped') AS dropped, count(*) FILTER (status = 'kept') AS kept FROM ks")
 def merge_stats(spark: SparkSession, folder: str) -> DataFrame:
     return rules.merge_stats(_merged(spark, folder)[1])
 
 
-@query()
+_EXTRA = ("field observation", "participatory design", "results", "overview")
+_GENERIC = ", ".join("('" + t.replace("'", "''") + "')" for t in (*text.GENERIC_EN, *text.GENERIC_ZH, *_EXTRA))
+
+
+@query(f"""WITH g AS (SELECT {_FORM.format('t')} AS form FROM (VALUES {_GENERIC}) v(t)), k AS (SELECT record_id, unnest(list_distinct(keywords)) AS term FROM {_RECORDS}),
+c AS (SELECT term, count(*) AS df FROM k WHERE term <> '' GROUP BY term) SELECT term, df FROM c WHERE {_FORM.format('term')} NOT IN (SELECT form FROM g)""")
 def drop_generic(spark: SparkSession, folder: str) -> DataFrame:
     """Which keywords the list of generic terms, with a few of this field, leaves."""
     frequency = network.document_frequency(corpora.from_records(spark, folder))
-    return rules.drop_generic(frequency, ["field observation", "participatory design", "results", "overview"])[0]
+    return rules.drop_generic(frequency, list(_EXTRA))[0]
 
 
 # -- statistics and graphs -------------------------------------------------------------------------------------------------
@@ -496,28 +549,136 @@ def inverted_abstracts(spark: SparkSession, folder: str) -> DataFrame:
     return index.select("doc_id", text.text_from_positions(F.col("index")).alias("text"))
 
 
-#: How a record is written in each format of tagged lines: parts before, between and after title, year, source and keywords.
-_EXPORTS = {
-    "wos": ("PT J\nTI {t}\nSO {s}\nPY {y}\nDE {k}\nER\n\n"),
-    "ris": ("TY  - JOUR\nTI  - {t}\nJO  - {s}\nPY  - {y}\nKW  - {k}\nER  - \n"),
-    "refworks": ("RT Journal\nT1 {t}\nJF {s}\nYR {y}\nK1 {k}\n\n"),
-    "endnote": ("%0 Journal Article\n%T {t}\n%J {s}\n%D {y}\n%K {k}\n\n"),
-}
+#: Characters that no format gives a meaning: what else titles, names and terms hold becomes a space before they are written.
+_PLAIN = {"title": r"[^\p{L}\p{N} ,.:-]+", "name": r"[^\p{L}\p{N} ,.-]+", "term": r"[^\p{L}\p{N} -]+", "doi": r"[^A-Za-z0-9./-]+"}
+
+
+def _plain(col, kind: str):
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(col, F.lit("")), _PLAIN[kind], "" if kind == "doi" else " "), " +", " "))
+
+
+def _plain_sql(col: str, kind: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(coalesce({col}, ''), '{_PLAIN[kind]}', '{'' if kind == 'doi' else ' '}', 'g'), ' +', ' ', 'g'))"
+
+
+def _tags(tag: str, col):
+    """A line per value of an array, each after its tag."""
+    return F.concat_ws("", F.transform(col, lambda x: F.concat(F.lit(tag), x, F.lit("\n"))))
+
+
+def _quoted(*cells):
+    return F.concat(F.concat_ws(",", *[F.concat(F.lit('"'), F.coalesce(c, F.lit("")), F.lit('"')) for c in cells]), F.lit("\n"))
+
+
+def _exports() -> dict:
+    """Per format: what stands before, between and after the records of a file, and a record as text."""
+    t, s, y, d, c = (F.col(x) for x in ("title", "source", "pub_year", "doi", "citations"))
+    a, k, n = F.col("authors"), F.col("keywords"), F.coalesce(F.col("citations").cast("string"), F.lit(""))
+    line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    shown = lambda x: F.struct(x.alias("display_name"))
+    work = F.struct(
+        t.alias("title"), y.alias("publication_year"), F.transform(a, lambda x: F.struct(shown(x).alias("author"))).alias("authorships"), F.transform(k, shown).alias("keywords"),
+        F.struct(shown(s).alias("source")).alias("primary_location"), F.concat(F.lit("https://doi.org/"), d).alias("doi"), c.alias("cited_by_count"),
+    )
+    article = line(
+        "<PubmedArticle><MedlineCitation><PMID>1</PMID><Article><Journal><JournalIssue><PubDate><MedlineDate>", y, "</MedlineDate></PubDate></JournalIssue><Title>", s, "</Title></Journal><ArticleTitle>", t, "</ArticleTitle><AuthorList>",
+        F.concat_ws("", F.transform(a, lambda x: line("<Author><CollectiveName>", x, "</CollectiveName></Author>"))), "</AuthorList></Article><KeywordList>", F.concat_ws("", F.transform(k, lambda x: line("<Keyword>", x, "</Keyword>"))),
+        '</KeywordList></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType="doi">', d, "</ArticleId></ArticleIdList></PubmedData></PubmedArticle>",
+    )
+    joined = lambda x: F.concat_ws("; ", x)
+    return {
+        "wos": ("", "", "", line("PT J\nAU ", joined(a), "\nTI ", t, "\nSO ", s, "\nDE ", joined(k), "\nPY ", y, "\nTC ", n, "\nDI ", d, "\nER\n\n")),
+        "ris": ("", "", "", line("TY  - JOUR\n", _tags("AU  - ", a), "TI  - ", t, "\nJO  - ", s, "\nPY  - ", y, "\nDO  - ", d, "\n", _tags("KW  - ", k), "ER  - \n\n")),
+        "refworks": ("", "", "", line("RT Journal\n", _tags("A1 ", a), "T1 ", t, "\nJF ", s, "\nYR ", y, "\nK1 ", joined(k), "\n\n")),
+        "endnote": ("", "", "", line("%0 Journal Article\n", _tags("%A ", a), "%T ", t, "\n%J ", s, "\n%D ", y, "\n%K ", joined(k), "\n\n")),
+        "bibtex": ("", "", "", line("@article{x,\n author = {", F.concat_ws(" and ", a), "},\n title = {", t, "},\n journal = {", s, "},\n year = {", y, "},\n doi = {", d, "},\n keywords = {", F.concat_ws(", ", k), "}\n}\n\n")),
+        "scopus": ("Authors,Title,Year,Source title,Cited by,DOI,Author Keywords,EID\n", "", "", _quoted(joined(a), t, y, s, n, d, joined(k))),
+        "table": ("Title,Author,Year,Source,Keywords,DOI\n", "", "", _quoted(t, joined(a), y, s, joined(k), d)),
+        "works_json": ("[", ",", "]", F.to_json(work)),
+        "articles_xml": ("<PubmedArticleSet>", "", "</PubmedArticleSet>", article),
+    }
+
+
+#: Columns that not every format has.
+_WITH_DOI, _WITH_CITATIONS = ("wos", "ris", "bibtex", "scopus", "table", "works_json", "articles_xml"), ("wos", "scopus", "works_json")
 _YEAR_SQL = r"regexp_extract(coalesce(pub_year, ''), '(?:^|[^\p{L}\p{N}_])((?:19|20)\d{2})(?:$|[^\p{L}\p{N}_])', 1)"
-_READ_SQL = f"""WITH r AS (SELECT DISTINCT raw_id, src_file, title, pub_year, source FROM raw_exports)
-SELECT src_file, row_number() OVER (PARTITION BY src_file ORDER BY raw_id) - 1 AS ordinal, trim(coalesce(title, '')) AS title, {_YEAR_SQL} AS pub_year, trim(coalesce(source, '')) AS source, ['alpha', 'beta'] AS keywords FROM r"""
-_READ_RIS_SQL = _READ_SQL.replace("['alpha', 'beta']", "['alpha; beta']")
+
+
+def _read_sql(name: str) -> str:
+    authors = f"list_filter(list_transform(coalesce(authors, []), lambda x: regexp_replace({_plain_sql('x', 'name')}, '(?i) and ', ' + ', 'g')), lambda x: x <> '')"
+    keywords = f"list_filter(list_transform(coalesce(keywords, []), lambda x: {_plain_sql('x', 'term')}), lambda x: x <> '')"
+    more = f", {_plain_sql('doi', 'doi')} AS doi" * (name in _WITH_DOI) + (", coalesce(citations, 0) AS citations" if name == "works_json" else ", citations" * (name in _WITH_CITATIONS))
+    return f"SELECT src_file, row_number() OVER (PARTITION BY src_file ORDER BY record_id) - 1 AS ordinal, {_plain_sql('title', 'title')} AS title, {_YEAR_SQL} AS pub_year, {_plain_sql('source', 'title')} AS source, {authors} AS authors, {keywords} AS keywords{more} FROM {_RECORDS}"
 
 
 def _read_again(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The publications of raw_exports written as one export per file, and read again."""
-    raw = table(spark, folder, "raw_exports").select("raw_id", "src_file", "title", "pub_year", "source").distinct()
-    entry = F.lit(_EXPORTS[name])
-    for mark, value in (("{t}", F.col("title")), ("{s}", F.col("source")), ("{y}", F.col("pub_year")), ("{k}", F.lit("alpha; beta"))):
-        entry = F.replace(entry, F.lit(mark), F.coalesce(value, F.lit("")))
-    texts = raw.select("src_file", "raw_id", entry.alias("entry")).groupBy("src_file").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("raw_id", "entry"))), lambda x: x["entry"])).alias("text"))
-    return readers.parse_texts(texts, "src_file", "text", name).select("src_file", "ordinal", "title", "pub_year", "source", "keywords")
+    """The records, with their own authors and keywords, written as one export per file, and read again."""
+    rows = latest(table(spark, folder, "records").select("record_id", "loaded_at", "src_file", "title", "pub_year", "source", "doi", "authors", "keywords", "citations"), ["record_id"], ["loaded_at"])
+    none = F.array().cast("array<string>")
+    listed = lambda c, kind: F.filter(F.transform(F.coalesce(c, none), lambda x: F.regexp_replace(_plain(x, kind), "(?i) and ", " + ") if kind == "name" else _plain(x, kind)), lambda x: x != "")
+    rows = rows.select("record_id", "src_file", _plain(F.col("title"), "title").alias("title"), text.year(F.col("pub_year")).alias("pub_year"), _plain(F.col("source"), "title").alias("source"), _plain(F.col("doi"), "doi").alias("doi"), listed("authors", "name").alias("authors"), listed("keywords", "term").alias("keywords"), "citations")
+    before, between, after, entry = _exports()[name]
+    files = rows.select("src_file", "record_id", entry.alias("entry")).groupBy("src_file").agg(F.array_sort(F.collect_list(F.struct("record_id", "entry"))).alias("entries"))
+    texts = files.select("src_file", F.concat(F.lit(before), F.concat_ws(between, F.transform("entries", lambda x: x["entry"])), F.lit(after)).alias("text"))
+    columns = ["title", "pub_year", "source", "authors", "keywords"] + ["doi"] * (name in _WITH_DOI) + ["citations"] * (name in _WITH_CITATIONS)
+    return readers.parse_texts(texts, "src_file", "text", name).select("src_file", "ordinal", *columns)
+
+
+for _name in ("wos", "ris", "refworks", "endnote", "bibtex", "scopus", "table", "works_json", "articles_xml"):
+    query(_read_sql(_name), f"{_name}_reader")(lambda spark, folder, _name=_name: _read_again(spark, folder, _name))
+
+
+# -- the keyword network of the records ------------------------------------------------------------------------------------
+
+_KEYWORDS = f"""
+d AS (SELECT record_id AS doc_id, TRY_CAST({_YEAR_SQL} AS INT) AS yr, citations AS cit FROM {_RECORDS}),
+t AS (SELECT * FROM (SELECT record_id AS doc_id, unnest(list_distinct(keywords)) AS term FROM {_RECORDS}) WHERE term <> ''),
+"""
+_NET_K = _KEYWORDS + _KEPT.format(least=DOCS_MIN, weight=_ONE)
+_NET_K2 = _KEYWORDS + _KEPT.format(least=BASKET_MIN, weight=_ONE)
+
+
+def _net_k(spark: SparkSession, folder: str, least: int = DOCS_MIN) -> network.Network:
+    return network.build(cut(corpora.from_records(spark, folder), "records"), min_occurrences=least)
+
+
+@query(f"WITH {_NET_K} {_NODES} x AS (SELECT 1) SELECT id, label, occurrences, total_link_strength, round(avg_year, 6) AS avg_year, round(avg_citations, 6) AS avg_citations FROM nodes")
+def keyword_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the network of the records' keywords."""
+    return _net_k(spark, folder).nodes.withColumn("avg_year", F.round("avg_year", 6)).withColumn("avg_citations", F.round("avg_citations", 6))
+
+
+@query(f"WITH {_NET_K} x AS (SELECT 1) {_EDGES_SQL}")
+def keyword_edges(spark: SparkSession, folder: str) -> DataFrame:
+    net = _net_k(spark, folder)
+    return network.with_labels(net.edges, net.nodes).select("label_a", "label_b", "weight")
+
+
+_K_REACH = "sy AS (SELECT src AS id, dst AS other FROM e UNION ALL SELECT dst, src FROM e), rc AS (SELECT id, id AS other FROM n UNION SELECT rc.id, sy.other FROM rc JOIN sy ON rc.other = sy.id), comp AS (SELECT id, min(other) AS component FROM rc GROUP BY id),"
+
+
+@query(f"WITH RECURSIVE {_NET_K2} {_K_REACH} x AS (SELECT 1) SELECT id, dense_rank() OVER (ORDER BY component) AS cluster FROM comp")
+def keyword_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of the network of all keywords that two records have, over all its edges, numbered by their least node."""
+    net = _net_k(spark, folder, BASKET_MIN)
+    return graph.numbered_components(cut(graph.connected_components(net.nodes, net.edges), "components"))
+
+
+@query(f"WITH {_KEYWORDS} x AS (SELECT 1) SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(DISTINCT doc_id) FROM t) AS with_terms, (SELECT count(DISTINCT doc_id) FROM t) / (SELECT count(*) FROM d) AS share, (SELECT min(yr) FROM d) AS first_year, (SELECT max(yr) FROM d) AS last_year")
+def year_range(spark: SparkSession, folder: str) -> DataFrame:
+    return corpora.year_range(corpora.from_records(spark, folder))
+
+
+@query()
+def keyword_louvain(spark: SparkSession, folder: str) -> DataFrame:
+    """Communities of the network of the records' keywords."""
+    net = _net_k(spark, folder)
+    return graph.louvain(net.nodes, net.edges)
 
 
-for _name in ("wos", "ris", "refworks", "endnote"):
-    query(_READ_RIS_SQL if _name == "ris" else _READ_SQL, f"{_name}_reader")(lambda spark, folder, _name=_name: _read_again(spark, folder, _name))
+@query(f"{_D_ALL} {_GAPS} x AS (SELECT 1) SELECT ta AS term_a, tb AS term_b, round(ratio, 6) AS ratio, round(p_value, 4) AS p_value FROM h ORDER BY p_value < 0.05 DESC, round_even(p_value, 4), ia, ib LIMIT 15")
+def gaps_top15(spark: SparkSession, folder: str) -> DataFrame:
+    """The first gaps of the report: significant ones first, then by p, equal ones by their nodes."""
+    net, clusters = _net_d(spark, folder)
+    top = stats.top_gaps(stats.gap_pairs(net.nodes, net.edges, clusters, net.n_docs))
+    return top.select("term_a", "term_b", F.round("ratio", 6).alias("ratio"), F.round("p_value", 4).alias("p_value"))

@@ -139,8 +139,9 @@ def tagged_records(text: str, form: Tagged) -> Iterator[dict[str, list[str]]]:
         yield record
 
 
+#: Tags of each format by canonical field. Fixed values.
 _RW = {"title": ("T1", "TI"), "year": ("YR", "PY", "DA"), "source": ("JF", "JO", "T2"), "keywords": ("K1", "DE"), "abstract": ("AB", "N2"), "authors": ("A1", "AU")}
-_EN = {"title": ("%T",), "keywords": ("%K",), "abstract": ("%X",), "year": ("%D",), "source": ("%J",), "authors": ("%A",), "doi_unused": ("%U",)}
+_EN = {"title": ("%T",), "keywords": ("%K",), "abstract": ("%X",), "year": ("%D",), "source": ("%J",), "authors": ("%A",)}
 _WOS = {
     "title": ("TI", "T1"), "year": ("PY", "PD", "Y1"), "source": ("SO", "J9", "JO", "T2"), "doi": ("DI", "DO"), "authors": ("AU", "A1"), "keywords": ("DE", "K1"),
     "keywords_plus": ("ID",), "abstract": ("AB", "N2"), "citations": ("TC", "Z9"), "cited_refs": ("CR",),
@@ -151,7 +152,7 @@ FORMATS = {
     "wos": Tagged(re.compile(r"^(?P<tag>[A-Z][A-Z0-9])(?:[\s](?P<value>.*))?$"), _WOS, end=("ER",), stop=("EF",), indent=re.compile("^   "), keep=lambda t: t not in ("FN", "VR")),
     "wos_strict": Tagged(re.compile(r"^(?P<tag>[^\s]{1,3})(?:[ \t](?P<value>.*))?$"), _WOS, end=("ER",), stop=("EF",), keep=lambda t: t not in ("FN", "VR")),
     "refworks": Tagged(re.compile(r"^(?P<tag>[A-Za-z][A-Za-z0-9])\s+(?P<value>.*)$"), _RW, begin=("RT",), end=("ER",), indent=re.compile(r"^(?:  |\t)"), pooled=True, upper=True, known=frozenset(t for ts in _RW.values() for t in ts)),
-    "endnote": Tagged(re.compile(r"^(?P<tag>%.)(?:.(?P<value>.*))?$"), _EN, begin=("%0",), pooled=True, known=frozenset(t for ts in _EN.values() for t in ts)),
+    "endnote": Tagged(re.compile(r"^(?P<tag>%.)(?:.(?P<value>.*))?$"), _EN, begin=("%0",), pooled=True, known=frozenset(("%U", *(t for ts in _EN.values() for t in ts)))),
     "ris": Tagged(re.compile(r"^\s*(?P<tag>[A-Z][A-Z0-9])\s{2}-\s?(?P<value>.*)$"), _RIS, end=("ER",), several=True),
 }
 
@@ -283,7 +284,7 @@ def read_scopus(text: str) -> list[dict]:
     return out
 
 
-def read_excel(path: str) -> list[dict]:
+def read_excel(path) -> list[dict]:
     """A workbook's first sheet; needs pandas with a reader for workbooks."""
     try:
         import pandas as pd
@@ -319,9 +320,6 @@ def sniff(head: str, name: str = "") -> str:
     return "wos" if has(r"^(?:PT|TI|AU)\s") else "table" if ending == "txt" and ";" in first else ""
 
 
-READERS = {"wos": read_wos, "ris": lambda t: read_tagged(t, "ris"), "refworks": lambda t: read_tagged(t, "refworks"), "endnote": lambda t: read_tagged(t, "endnote"), "bibtex": read_bibtex, "scopus": read_scopus, "table": read_table}
-
-
 def parse(data: bytes, name: str = "", format: str | None = None, strict: bool = False) -> tuple[str, list[dict]]:
     """(format, records) of a file's bytes; an unknown format has no records."""
     text = decode(data)
@@ -378,3 +376,6 @@ def articles_from_xml(text: str, terms: str = "both") -> list[dict]:
         keys = {"author": own, "mesh": mesh}.get(terms, own + mesh)
         out.append(canonical(title=inner(article.find("ArticleTitle")), year=year, source=inner(article.find("Journal/Title")), doi=doi, authors=[n for n in names if n], keywords=clean_all(keys), abstract=abstract, raw={"pmid": [inner(entry.find("MedlineCitation/PMID"))]}))
     return out
+
+
+READERS = {"wos": read_wos, "ris": lambda t: read_tagged(t, "ris"), "refworks": lambda t: read_tagged(t, "refworks"), "endnote": lambda t: read_tagged(t, "endnote"), "bibtex": read_bibtex, "scopus": read_scopus, "table": read_table, "works_json": works_from_json, "articles_xml": articles_from_xml}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -16,6 +18,11 @@ from termweave.sources import formats
 _COLUMNS = "title pub_year source doi authors keywords keywords_plus abstract citations cited_refs raw".split()
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, local or of any URI that Arrow knows, and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
 class _File(InputPartition):
     def __init__(self, ordinal: int, path: str):
         self.ordinal, self.path = ordinal, path
@@ -26,11 +33,14 @@ class _BibReader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        paths = self.options["path"].split("\n")
         files = []
-        for p in paths:
-            if os.path.isdir(p):
-                files += sorted(os.path.join(p, f) for f in os.listdir(p) if not f.startswith((".", "_")))
+        for p in self.options["path"].split("\n"):
+            store, path = _store(p)
+            info = store.get_file_info(path)
+            if info.type == fs.FileType.Directory:
+                found = store.get_file_info(fs.FileSelector(path))
+                root = p.rstrip("/")
+                files += [f"{root}/{f.base_name}" for f in sorted(found, key=lambda f: f.base_name) if f.type == fs.FileType.File and not f.base_name.startswith((".", "_"))]
             else:
                 files.append(p)
         return [_File(i, p) for i, p in enumerate(files)]
@@ -38,17 +48,15 @@ class _BibReader(DataSourceReader):
     def read(self, partition: _File):
         name = os.path.basename(partition.path)
         wanted, strict = self.options.get("bibformat"), self.options.get("strict", "false").lower() == "true"
+        store, path = _store(partition.path)
+        with store.open_input_stream(path, compression=None) as f:
+            data = f.read()
         if formats.sniff("", name) == "excel":
-            found, records = "excel", formats.read_excel(partition.path)
+            found, records = "excel", formats.read_excel(io.BytesIO(data))
+        elif wanted == "articles_xml":
+            found, records = wanted, formats.articles_from_xml(formats.decode(data), self.options.get("terms", "both"))
         else:
-            with open(partition.path, "rb") as f:
-                data = f.read()
-            if wanted == "works_json":
-                found, records = wanted, formats.works_from_json(formats.decode(data))
-            elif wanted == "articles_xml":
-                found, records = wanted, formats.articles_from_xml(formats.decode(data), self.options.get("terms", "both"))
-            else:
-                found, records = formats.parse(data, name, wanted, strict)
+            found, records = formats.parse(data, name, wanted, strict)
         for i, r in enumerate(records):
             yield ((partition.ordinal << 32) + i, name, found, *[r[c] for c in _COLUMNS])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,6 +80,32 @@ def cluster_colors(clusters: DataFrame) -> DataFrame:
     return clusters.select("cluster").distinct().select("cluster", F.element_at(palette, (F.pmod(F.col("cluster") - 1, F.lit(len(PALETTE))) + 1).cast("int")).alias("_c")).select("cluster", "_c.*")
 
 
+def color_rows(clusters: DataFrame) -> DataFrame:
+    """(cluster, line) of a file of cluster colours; its header is COLOR_HEADER."""
+    return cluster_colors(clusters).select("cluster", F.concat_ws("\t", *[F.col(c).cast("string") for c in ("cluster", "red", "green", "blue")]).alias("line"))
+
+
+COLOR_HEADER, OVERLAY_HEADER = "cluster\tred\tgreen\tblue", "color value\tred\tgreen\tblue"
+
+
+def overlay_rows(spark: SparkSession, stops: list[tuple[float, tuple[int, int, int]]]) -> DataFrame:
+    """(value, line) of a file of overlay colours from (value between 0 and 1, (red, green, blue)); the header is OVERLAY_HEADER."""
+    return spark.createDataFrame([(float(v), "\t".join(map(str, (float(v), *c)))) for v, c in stops], "value double, line string")
+
+
+def works_table(records: DataFrame) -> DataFrame:
+    """Records with the columns of a table that the readers know by header; lists are joined with '; '."""
+    return records.select(
+        F.col("title").alias("Title"), F.concat_ws("; ", "authors").alias("Authors"), F.col("source").alias("Source title"), F.col("pub_year").alias("Year"), F.col("citations").alias("Cited by"),
+        F.col("doi").alias("DOI"), F.concat_ws("; ", "keywords").alias("Author Keywords"), F.concat_ws("; ", "keywords_plus").alias("Index Keywords"), F.col("abstract").alias("Abstract"),
+    )
+
+
+def write_works(records: DataFrame, folder: str) -> None:
+    """CSV files of records with a header, one per partition, quoted where needed; read_bib reads the folder back."""
+    works_table(records).write.mode("errorifexists").option("header", True).option("escape", '"').option("emptyValue", "").csv(folder)
+
+
 def write_lines(rows: DataFrame, path: str, order: list[str], header: str | None = None) -> None:
     """One file with the rows' lines in order; rows are streamed through the driver, partition by partition."""
     with open(path, "w", encoding="utf-8-sig", newline="") as f:
