@@ -21,9 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words that, standing alone after a semicolon, qualify the value before it instead of being a value.
-QUALIFIERS = ("practice", "theory")
-
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -114,23 +111,7 @@ def split_strings(values: pa.Array, names: bool) -> pa.ListArray:
     hard3 = wide | slash | (_find(data, "、".encode()) & free) | (_find(data, "，".encode()) & free)
     hard1 = free & ((data == ord("|")) | (data == 9) | (data == 10) | (data == 13))
 
-    # A semicolon before a qualifier that stands alone is part of the value.
     lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    stop = semi | comma | hard1 | hard3
-    bound = np.flatnonzero(stop)
-    qualified = np.zeros(len(data), bool)
-    if not names:
-        for word in QUALIFIERS:
-            for at in np.flatnonzero(_find(lower, word.encode())):
-                left, right, c = at - 1, at + len(word), cell[at]
-                while left >= starts[c] and space[left]:
-                    left -= 1
-                while right < ends[c] and space[right]:
-                    right += 1
-                if left > starts[c] and semi[left] and (right == ends[c] or stop[right]):
-                    qualified[left] = True
-    semi &= ~qualified
-
     count = lambda mask: _per_cell(mask, starts, ends)
     n_comma, n_semi, n_hard, n_quote = count(comma), count(semi), count(hard1 | hard3), count(quote)
     tight = count(comma & ~next_space)
@@ -168,10 +149,9 @@ def split_strings(values: pa.Array, names: bool) -> pa.ListArray:
         group = np.searchsorted(parents, np.arange(n))
         most = np.maximum.reduceat(commas_in, group)
         only_soft = plain & (n_hard == 0)
-        n_qualified = count(qualified)
         comma_list = only_soft & (n_comma > 0) & (
             ((n_semi > 0) & ((tight > 0) | ((most >= 2) & (n_quote == 0))))
-            | ((n_semi == 0) & ((n_comma >= 2) | (tight > 0) | (n_quote > 0) | (n_qualified > 0)))
+            | ((n_semi == 0) & ((n_comma >= 2) | (tight > 0) | (n_quote > 0)))
         )
         cut_comma = comma & comma_list[cell]
         semi &= ~comma_list[cell]
@@ -209,14 +189,18 @@ def split_strings(values: pa.Array, names: bool) -> pa.ListArray:
     other = np.asarray(pc.match_substring_regex(text, r"\\[^\"'\\/]")) | (_per_cell(data == ord("'"), starts, ends) > 0) & (_per_cell(data == ord('"'), starts, ends) > 0) & (mark == ord("'"))
     hard_lists = np.flatnonzero(is_list & (other | odd))
     if len(hard_lists):
-        fixed = out.to_pylist()
+        # Only these cells are parsed; their lists are put in place of the others' by index.
+        fixed, which = [], []
         for i in hard_lists:
             try:
                 parsed = _parsed(text[int(i)].as_py())
             except (ValueError, SyntaxError, RecursionError, MemoryError):
                 continue
-            fixed[i] = [s for s in (str(x).strip() for x in parsed if x is not None) if s]
-        out = pa.array(fixed, pa.list_(pa.string()))
+            fixed.append([s for s in (str(x).strip() for x in parsed if x is not None) if s])
+            which.append(i)
+        place = np.arange(n)
+        place[which] = n + np.arange(len(which))
+        out = pa.concat_arrays([out, pa.array(fixed, pa.list_(pa.string()))]).take(pa.array(place))
     return out
 
 
