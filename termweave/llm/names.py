@@ -63,7 +63,7 @@ def fold(text: str) -> str:
 @lru_cache(maxsize=100_000)
 def _is_type(word: str) -> bool:
     """Whether a word names a kind of institution: in full, with one slip, or abbreviated to three letters or more."""
-    return len(word) >= 3 and any(w.startswith(word) or len(word) > 5 and abs(len(w) - len(word)) <= 1 and _edits(w, word) <= 1 for w in ORG_WORDS)
+    return len(word) >= 3 and any(w.startswith(word) or len(word) > 5 and abs(len(w) - len(word)) <= 1 and len(set(w) ^ set(word)) <= 2 and _edits(w, word) <= 1 for w in ORG_WORDS)
 
 
 _ANY_LEGAL = LEGAL | LEGAL_SHORT
