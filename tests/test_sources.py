@@ -144,3 +144,40 @@ def test_texts_in_columns(spark):
     assert [(r["f"], r["ordinal"], r["title"]) for r in rows] == [("f1", 0, "On tests"), ("f1", 1, "Other")] and rows[0]["raw"]["KW"] == ["alpha; beta", "gamma."]
     index = spark.createDataFrame([({"b": [1], "a": [0, 2]},), ({},), (None,)], "m map<string,array<int>>")
     assert [r[0] for r in index.select(text_from_positions(F.col("m"))).collect()] == ["a b a", "", None]
+
+
+def test_works_table_round_trip(spark, tmp_path):
+    rows = [("A, \"b\" c", "2001", "S", "10.1/x", ["Doe, J", "Roe, K"], ["alpha", "beta"], ["plus"], "abs", 3), ("T2", "", "", "", [], [], [], "", None)]
+    records = spark.createDataFrame(rows, "title string, pub_year string, source string, doi string, authors array<string>, keywords array<string>, keywords_plus array<string>, abstract string, citations long")
+    sinks.write_works(records.coalesce(1), str(tmp_path / "works"))
+    back = {r["title"]: r for r in readers.read_bib(spark, str(tmp_path / "works"), "scopus").collect()}
+    first = back['A, "b" c']
+    assert (first["pub_year"], first["doi"], first["authors"], first["keywords"], first["keywords_plus"], first["citations"]) == ("2001", "10.1/x", ["Doe, J", "Roe, K"], ["alpha", "beta"], ["plus"], 3)
+    assert back["T2"]["authors"] == [] and back["T2"]["citations"] is None
+
+
+def test_colour_files(spark):
+    lines = [r["line"] for r in sinks.color_rows(spark.createDataFrame([(2,), (1,)], "cluster int")).orderBy("cluster").collect()]
+    assert [x.split("\t")[0] for x in lines] == ["1", "2"] and all(len(x.split("\t")) == 4 for x in lines)
+    assert [r["line"] for r in sinks.overlay_rows(spark, [(0, (1, 2, 3)), (1.0, (4, 5, 6))]).orderBy("value").collect()] == ["0.0\t1\t2\t3", "1.0\t4\t5\t6"]
+
+
+def test_views_reload_and_no_betweenness(spark, tmp_path):
+    groups = [["fall detection", "sensor", "camera", "wearable"], ["policy", "nursing", "loneliness", "community"]]
+    rows = [(i, f"title {i}", str(2000 + i % 20), [groups[i % 2][k] for k in range(4) if (i // 2) % 5 != k], [], "", i) for i in range(40)]
+    records = spark.createDataFrame(rows, "doc_id long, title string, pub_year string, keywords array<string>, keywords_plus array<string>, abstract string, citations long")
+    a = pipeline.analyze(records, pipeline.Options(min_occurrences=3, betweenness=False))
+    assert a.centrality is None
+    assert pipeline.register_views(a, "kw_") == ["kw_corpus", "kw_terms", "kw_nodes", "kw_edges", "kw_clusters", "kw_rules"]
+    assert spark.sql("SELECT count(*) AS n FROM kw_nodes JOIN kw_clusters USING (id)").first()["n"] == 8
+    out = tmp_path / "out"
+    pipeline.write(a, str(out))
+    again = pipeline.reload(spark, str(out))
+    assert again.net.n_docs == 40 and not again.layout and again.merge["kept"] > 0
+    assert again.net.edges.count() == a.net.edges.count() and again.assignment.select("cluster").distinct().count() == 2
+    nodes = a.net.nodes.withColumn("x", F.lit(0.5)).withColumn("y", F.lit(-0.25)).withColumn("cluster", F.lit(7))
+    sinks.write_lines(sinks.map_rows(nodes, layout=True, cluster=True), str(tmp_path / "final.txt"), ["id"], sinks.map_header(layout=True, cluster=True))
+    laid = pipeline.reload(spark, str(out), (str(tmp_path / "final.txt"), ""))
+    assert laid.layout and {(r["x"], r["y"], r["cluster"]) for r in laid.net.nodes.collect()} == {(0.5, -0.25, 7)}
+    sinks.write_lines(sinks.map_rows(nodes.limit(3), layout=True, cluster=True), str(tmp_path / "old.txt"), ["id"], sinks.map_header(layout=True, cluster=True))
+    assert not pipeline.reload(spark, str(out), (str(tmp_path / "old.txt"), "")).layout
