@@ -121,11 +121,17 @@ class Network:
     counting: str = "full"
 
 
-def build(corpus: DataFrame, counting: str = "full", min_occurrences: int = 2, max_terms: int | None = None, drop: DataFrame | None = None) -> Network:
-    """The network of a corpus. Documents without terms count as documents. nodes and edges are written tables."""
+def build(corpus: DataFrame, counting: str = "full", min_occurrences: int = 2, max_terms: int | None = None, drop: DataFrame | None = None, measures: bool = True) -> Network:
+    """The network of a corpus, which is read several times. Documents without terms count as documents.
+
+    nodes and edges are written tables. Without measures the nodes have neither strengths nor averages, and n_docs is -1.
+    """
     kept = cut(kept_terms(corpus, min_occurrences, max_terms, drop), "kept")
     nodes = cut(numbered(kept), "numbered")
-    docs = cut(present(corpus, nodes), "present")
+    docs = present(corpus, nodes)
+    if not measures:
+        return Network(nodes, cut(edges_of(docs, counting), "edges"), -1, counting)
+    docs = cut(docs, "present")
     edges = cut(edges_of(docs, counting), "edges")
     whole = nodes.join(link_strength(edges), "id", "left").join(averages(corpus, docs), "id", "left")
     nodes = cut(whole.select("id", "label", "occurrences", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("total_link_strength", "avg_year", "avg_citations")]), "nodes")

@@ -81,8 +81,8 @@ def _basket(spark: SparkSession, folder: str) -> DataFrame:
     return corpora.from_orders(spark, folder)
 
 
-def _net_b(spark: SparkSession, folder: str, counting: str = "full") -> network.Network:
-    return network.build(_basket(spark, folder), counting, BASKET_MIN)
+def _net_b(spark: SparkSession, folder: str, counting: str = "full", measures: bool = False) -> network.Network:
+    return network.build(cut(_basket(spark, folder), "basket"), counting, BASKET_MIN, measures=measures)
 
 
 def _docs_least(spark: SparkSession, folder: str) -> int:
@@ -161,7 +161,7 @@ def cooccurrence_fractional(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_NET_B} {_NODES} x AS (SELECT 1) SELECT id, label, occurrences, total_link_strength, round(avg_year, 6) AS avg_year, round(avg_citations, 6) AS avg_citations FROM nodes")
 def node_table(spark: SparkSession, folder: str) -> DataFrame:
-    nodes = _net_b(spark, folder).nodes
+    nodes = _net_b(spark, folder, measures=True).nodes
     return nodes.withColumn("avg_year", F.round("avg_year", 6)).withColumn("avg_citations", F.round("avg_citations", 6))
 
 
@@ -510,7 +510,7 @@ def betweenness_top10(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_NET_B} {_NODES} x AS (SELECT 1) SELECT id, id || chr(9) || label || chr(9) || chr(9) || occurrences || chr(9) || printf('%.0f', total_link_strength) || chr(9) || CASE WHEN avg_year <> 0 THEN printf('%.1f', avg_year) ELSE '' END || chr(9) || CASE WHEN avg_citations <> 0 THEN printf('%.2f', avg_citations) ELSE '' END AS line FROM nodes")
 def map_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return sinks.map_rows(_net_b(spark, folder).nodes)
+    return sinks.map_rows(_net_b(spark, folder, measures=True).nodes)
 
 
 @query(f"WITH {_NET_B} x AS (SELECT 1) SELECT src, dst, src || chr(9) || dst || chr(9) || printf('%.0f', weight) AS line FROM e")
@@ -638,14 +638,14 @@ _NET_K = _KEYWORDS + _KEPT.format(least=DOCS_MIN, weight=_ONE)
 _NET_K2 = _KEYWORDS + _KEPT.format(least=BASKET_MIN, weight=_ONE)
 
 
-def _net_k(spark: SparkSession, folder: str, least: int = DOCS_MIN) -> network.Network:
-    return network.build(cut(corpora.from_records(spark, folder), "records"), min_occurrences=least)
+def _net_k(spark: SparkSession, folder: str, least: int = DOCS_MIN, measures: bool = False) -> network.Network:
+    return network.build(cut(corpora.from_records(spark, folder), "records"), min_occurrences=least, measures=measures)
 
 
 @query(f"WITH {_NET_K} {_NODES} x AS (SELECT 1) SELECT id, label, occurrences, total_link_strength, round(avg_year, 6) AS avg_year, round(avg_citations, 6) AS avg_citations FROM nodes")
 def keyword_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes of the network of the records' keywords."""
-    return _net_k(spark, folder).nodes.withColumn("avg_year", F.round("avg_year", 6)).withColumn("avg_citations", F.round("avg_citations", 6))
+    return _net_k(spark, folder, measures=True).nodes.withColumn("avg_year", F.round("avg_year", 6)).withColumn("avg_citations", F.round("avg_citations", 6))
 
 
 @query(f"WITH {_NET_K} x AS (SELECT 1) {_EDGES_SQL}")

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,9 +60,24 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete at the end of the block what was written in the shared folder within it, so that long sessions don't fill it.
+
+    Results of the block must have been written, or taken to the driver, before it ends.
+    """
+    before = set(_written.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
+def release(spark: SparkSession, keep: set[str] = frozenset()) -> None:
     """Delete what this session wrote in the shared folder. Results that still read it must have been written before."""
-    for path in _written.pop(spark.sparkContext.applicationId, []):
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    _written[spark.sparkContext.applicationId] = [p for p in paths if p in keep]
+    for path in (p for p in paths if p not in keep):
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 

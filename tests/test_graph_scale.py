@@ -82,3 +82,16 @@ def test_gaps_by_bands_against_all_pairs(spark):
     got = sorted((r["id_a"], r["id_b"]) for r in found.collect())
     want = sorted((a[0], b[0]) for a, b in combinations(nodes, 2) if min(a[2], b[2]) >= 2 and cluster[a[0]] != cluster[b[0]] and a[2] * b[2] >= n_docs and edges.get((a[0], b[0]), 0) / (a[2] * b[2] / n_docs) < 0.35)
     assert got == want and len(want) > 50
+
+
+def test_scratch(spark):
+    """Tables written within the block are gone after it; earlier ones stay."""
+    from termweave.session import cut, scratch
+
+    kept = cut(spark.range(3), "kept")
+    with scratch(spark):
+        inner = cut(spark.range(4), "inner")
+        assert inner.count() == 4
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        inner.count()
