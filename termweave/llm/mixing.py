@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termweave.session import cut, spread
+from termweave.session import broadcast_if_small, cut, spread
 
 #: A public byte-level BPE vocabulary as tiktoken ranks, and the pattern that splits texts for it. Fixed value.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -133,7 +133,7 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str =
     """
     wanted = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in targets.filter("source IS NOT NULL").select("source", "target_share", "max_repeats").dropDuplicates(["source"]).toLocalIterator()}
     spark = docs.sparkSession
-    names = docs.join(F.broadcast(spark.createDataFrame([(s,) for s in wanted], f"{source} string")), source, "left_semi")
+    names = docs.join(broadcast_if_small(spark.createDataFrame([(s,) for s in wanted], f"{source} string")), source, "left_semi")
     counted = cut(token_counts(spread(names.select(key, source, text)), text, vocabulary).select(key, source, "tokens", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40)).alias("draw")), "tokens")
     histogram: dict[str, dict[int, int]] = {}
     for r in counted.filter("tokens > 0").groupBy(source, "tokens").count().toLocalIterator():
@@ -147,14 +147,14 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str =
     # The k documents of a length with the lowest draw: whole buckets of draws, and within one bucket a rank.
     bucket = F.floor(F.col("draw") / F.lit((1 << 40) // BUCKETS))
     rows = counted.filter("tokens > 0").withColumn("bucket", bucket)
-    sizes = rows.join(F.broadcast(extra), [source, "tokens"]).groupBy(source, "tokens", "bucket").agg(F.count("*").alias("n"), F.first("more").alias("more"))
+    sizes = rows.join(broadcast_if_small(extra), [source, "tokens"]).groupBy(source, "tokens", "bucket").agg(F.count("*").alias("n"), F.first("more").alias("more"))
     upto = F.sum("n").over(Window.partitionBy(source, "tokens").orderBy("bucket"))
     edges = sizes.withColumn("before", upto - F.col("n")).withColumn("from_bucket", F.greatest(F.lit(0), F.least("n", F.col("more") - F.col("before")))).select(source, "tokens", "bucket", "n", "from_bucket")
     edges = cut(edges.filter("from_bucket > 0"), "edges")
     whole = rows.join(edges.filter("from_bucket = n").select(source, "tokens", "bucket"), [source, "tokens", "bucket"], "left_semi").select(key)
     part = rows.join(edges.filter("from_bucket < n"), [source, "tokens", "bucket"]).withColumn("rank", F.row_number().over(Window.partitionBy(source, "tokens", "bucket").orderBy("draw", key))).filter("rank <= from_bucket").select(key)
     once_more = whole.unionByName(part).withColumn("once", F.lit(1))
-    used = counted.join(F.broadcast(passes), [source, "tokens"]).join(once_more, key, "left")
+    used = counted.join(broadcast_if_small(passes), [source, "tokens"]).join(once_more, key, "left")
     chosen = used.select(key, source, "tokens", (F.col("passes") + F.coalesce("once", F.lit(0))).cast("int").alias("uses")).filter("uses > 0")
 
     sums = chosen.groupBy(source).agg(F.sum(F.col("tokens") * F.col("uses")).alias("used_tokens"), F.count("*").alias("documents"), F.max("uses").alias("most_uses"))

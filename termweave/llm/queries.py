@@ -148,6 +148,16 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs, table(spark, folder, "mix_targets"), "doc_id", "text")[1]
 
 
+#: Tokens of a mixture that is wanted smaller than the documents allow.
+WANTED_TOKENS = 20_000
+
+
+def p9_shares_wanted(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares reached in a mixture of WANTED_TOKENS tokens in all."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, table(spark, folder, "mix_targets"), "doc_id", "text", total=WANTED_TOKENS)[1]
+
+
 def p10_languages(spark: SparkSession, folder: str) -> DataFrame:
     """Language and confidence of every document and of every line of the mixed ones."""
     found = language.languages(table(spark, folder, "documents"), table(spark, folder, "lang_samples"), "doc_id", "text", "lang")
@@ -162,7 +172,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_frequency": p1_frequency, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p6_candidates": p6_candidates,
-           "p7_found": p7_found, "p7_matches": p7_matches, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_cleaned": p8_cleaned, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_languages": p10_languages}
+           "p7_found": p7_found, "p7_matches": p7_matches, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_cleaned": p8_cleaned, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_shares_wanted": p9_shares_wanted, "p10_found": p10_found, "p10_languages": p10_languages}
 
 #: The normal form in DuckDB: NFC and the full-width forms, which together stand for NFKC on the terms of the test tables.
 _WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
