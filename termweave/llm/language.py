@@ -290,7 +290,7 @@ def calibrated(samples: list[tuple[str, str]], order: int = ORDER, folds: int =
         model.temper = min(np.arange(0.05, 2.01, 0.05).tolist(), key=loss)
     every = [x for xs in needs for x in xs]
     most = float(np.quantile(every, EXPLAINED)) if every else float("inf")
-    model.reject = np.array([max(float(np.quantile(xs, EXPLAINED)), -float(model.floor[j]) if not xs else 0.0) if xs else most for j, xs in enumerate(needs)])
+    model.reject = np.array([float(np.quantile(xs, EXPLAINED)) if xs else most for xs in needs])
     return model
 
 

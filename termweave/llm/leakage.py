@@ -183,7 +183,7 @@ class Items:
         entry = np.repeat(first[slot] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
         return np.repeat(at, n), items[entry], places[entry]
 
-    def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int, int]]:
+    def search(self, texts: list[str], explain: bool = True) -> list[tuple[int, int, int, int, int, int, int]]:
         """(text, item, agreeing, changed, first word, end word, item words) of all passages; words as words() counts them."""
         numbers, parts, starts, total = self.numbers, [], [], 0
         for text in texts:
@@ -206,7 +206,7 @@ class Items:
             for k in range(0, len(item), TOGETHER):
                 part = slice(k, k + TOGETHER)
                 out += self._verified(codes, start, text[part], item[part], centre[part])
-        return _explained(_disjoint(out))
+        return _explained(_disjoint(out)) if explain else _disjoint(out)
 
     def _diagonals(self, text: np.ndarray, item: np.ndarray, diagonal: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, middle) of the groups of hits that lie within BAND diagonals, from the least one on, with enough hits."""
@@ -388,16 +388,23 @@ def _items_of(name: str, rows: list[tuple[int, str]], span: int) -> Items:
     return _held[name]
 
 
-def _leaks_in(held: Items, texts: list[str]):
+def _leaks_in(held: Items, texts: list[str], explain: bool = True):
     """(text, item, agreeing, changed, first character, end character, share of the item, first word, end word)."""
     places: dict[int, list[tuple[int, int]]] = {}
-    for t, i, agreeing, changed, a, b, spanned in held.search(texts):
+    for t, i, agreeing, changed, a, b, spanned in held.search(texts, explain):
         if t not in places:
             places[t] = words(texts[t])[1]
         yield t, i, agreeing, changed, places[t][a][0], places[t][b - 1][1], spanned / int(held.sizes[i]), a, b
 
 
-_COLUMNS = (("agreeing", pa.int32()), ("changed", pa.int32()), ("begins", pa.int32()), ("ends", pa.int32()), ("item_share", pa.float64()))
+_COLUMNS = (("agreeing", pa.int32()), ("changed", pa.int32()), ("begins", pa.int32()), ("ends", pa.int32()), ("item_share", pa.float64()), ("_first", pa.int32()), ("_end", pa.int32()))
+
+
+def _explained_rows(found: pa.Table) -> pa.Table:
+    """The passages of one text, of all blocks of items, that no other item explains better."""
+    columns = [found.column(c).to_pylist() for c in (1, "agreeing", "changed", "_first", "_end")]
+    rows = [(0, item, agreeing, changed, first, end, n) for n, (item, agreeing, changed, first, end) in enumerate(zip(*columns))]
+    return found.take(pa.array(sorted(r[6] for r in _explained(rows)), pa.int64()))
 
 
 def find_passages(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_key: str, item_text: str, span: int = SPAN, block: int = BLOCK) -> DataFrame:
@@ -406,10 +413,10 @@ def find_passages(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str
     begins and ends are characters of the text. Null and empty texts leak nothing; an item shorter than the span must be held
     whole, one of less than five words unchanged. Documents are scanned whole, in place, unless there are fewer partitions
     than cores. Items are read on the driver in blocks, each broadcast by itself; keys that are null, and repeated keys, are
-    left out. With several blocks an item of another block does not explain a passage.
+    left out. The result does not depend on the blocks.
     """
     spark = docs.sparkSession
-    schema = f"{doc_key} long, {item_key} long, agreeing int, changed int, begins int, ends int, item_share double"
+    schema = f"{doc_key} long, {item_key} long, agreeing int, changed int, begins int, ends int, item_share double, _first int, _end int"
     rows, parts = [], []
     for r in items.filter(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(item_key, item_text).dropDuplicates([item_key]).toLocalIterator():
         rows.append((r[0], r[1]))
@@ -417,6 +424,7 @@ def find_passages(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str
             parts.append(rows)
             rows = []
     parts = parts + [rows] if rows or not parts else parts
+    one = len(parts) == 1
 
     def scanner(part):
         shared, name = spark.sparkContext.broadcast(part), uuid.uuid4().hex
@@ -434,9 +442,9 @@ def find_passages(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str
                     elif k is not None:
                         continue
                     if texts and (size > BATCH_CHARS or k is None):
-                        out += [(keys[t], held.keys[i], *rest[:5]) for t, i, *rest in _leaks_in(held, texts)]
+                        out += [(keys[t], held.keys[i], *rest) for t, i, *rest in _leaks_in(held, texts, one)]
                         keys, texts, size = [], [], 0
-                cols = list(zip(*out)) if out else [()] * 7
+                cols = list(zip(*out)) if out else [()] * 9
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), *(t for _, t in _COLUMNS)))], names=[doc_key, item_key, *(n for n, _ in _COLUMNS)])
 
         return spread(docs.select(F.col(doc_key).cast("long"), doc_text)).mapInArrow(scan, schema)
@@ -444,7 +452,7 @@ def find_passages(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str
     found = scanner(parts[0])
     for part in parts[1:]:
         found = found.unionByName(scanner(part))
-    return found
+    return (found if one else found.groupBy(doc_key).applyInArrow(_explained_rows, schema)).drop("_first", "_end")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_key: str, item_text: str, span: int = SPAN, block: int = BLOCK) -> DataFrame:

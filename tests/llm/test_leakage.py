@@ -127,3 +127,14 @@ def test_pattern_of_another_item():
     two = pattern.format("young", "Kelt", 87, "red", "large", 1955)
     items = leakage.Items([(1, one), (2, two), (3, f"{one} and then he left the town for ever")])
     assert {items.keys[r[1]] for r in items.search([f"{FILL} {one} {FILL}"])} == {1, 3}
+
+
+@pytest.mark.parametrize("block", [20_000, 1])
+def test_pattern_over_blocks(spark, block):
+    """Which items explain a passage does not depend on the blocks that items are searched in."""
+    pattern = "why did the {} miller of {} trade exactly {} grams of {} salt for the {} bell before {} came home again"
+    texts = [pattern.format("old", "Vorn", 31, "grey", "small", 1911), pattern.format("young", "Kelt", 87, "red", "large", 1955)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{FILL} {texts[0]} {FILL}"), (2, texts[1]), (3, f"{texts[1]} {FILL} {texts[0]}")], "doc_id long, text string")
+    found = leakage.find_leaks(docs, items, "doc_id", "text", "item_id", "text", block=block)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 0), (2, 1), (3, 0), (3, 1)}
